@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import chat, packing, tokenfile
+from glossweave.llm import chat, packing, quality, tokenfile
 from glossweave.llm.common import table
 
 
@@ -31,10 +31,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_chat": op4_chat,
     "op5_token_files": op5_token_files,
+    "op7_quality": op7_quality,
 }
 
 ORACLES: dict[str, str] = {}
