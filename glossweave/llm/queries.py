@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import chat, decontam, packing, quality, tokenfile
+from glossweave.llm import chat, decontam, linededup, packing, quality, tokenfile
 from glossweave.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_chat": op4_chat,
     "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": linededup.SQL,
     "op8_decontamination": decontam.SQL,
 }
