@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import chat, decontam, linededup, packing, quality, tokenfile
+from glossweave.llm import chat, decontam, linededup, neardup, packing, quality, tokenfile
 from glossweave.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_chat": op4_chat,
@@ -50,9 +54,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": linededup.SQL,
     "op8_decontamination": decontam.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }
