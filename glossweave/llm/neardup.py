@@ -197,8 +197,8 @@ SQL = r"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select distinct doc_id, shingle from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as shingle from d)),
 n as (select doc_id, count(*) as n from s group by doc_id),
-pair as (select x.doc_id as a, y.doc_id as b, count(*) as both from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
-link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both >= 85 * (na.n + nb.n - both)),
+pair as (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 85 * (na.n + nb.n - common)),
 edge as (select a, b from link union all select b, a from link),
 reach as (select a, b from edge union select reach.a, edge.b from reach join edge on reach.b = edge.a)
 select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(min(reach.b), d.doc_id)) as kept
