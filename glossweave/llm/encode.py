@@ -9,10 +9,9 @@ library.  Equality with encoding each text at once is tested.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: White space as the tokenizers' regular expressions know it.
 WHITE = "\\t-\\r \x85\xa0  -     　"
 #: Letters and marks between which both kinds always cut, if white space or the end follows the mark.
@@ -25,33 +24,29 @@ PIECES = {
 }
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of a text as little-endian bytes of ``dtype``; null is the empty text.
 
-    kind: a key of PIECES.  Strings of special tokens in a text are ordinary
-    text.  At most ``memo`` pieces are kept; beyond it the memo starts anew.
+    It is the memo itself, from pieces to ids.  kind: a key of PIECES.  Strings of
+    special tokens in a text are ordinary text.  Beyond ``memo`` pieces it starts anew.
     """
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", memo: int = 600_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.dtype, self.limit = PIECES[kind], np.dtype(dtype), memo
-        self.memo: dict[str, bytes] = {}
+        self.pieces, self.width, self.limit = PIECES[kind], {"<u2": "H", "<u4": "I"}[dtype], memo
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = self[piece] = struct.pack(f"<{len(ids)}{self.width}", *ids)
+        return out
 
     def __call__(self, text: str | None) -> bytes:
-        pieces, memo = self.pieces(text or ""), self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > self.limit:
-            memo.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([memo[p] for p in pieces])
+        if len(self) > self.limit:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.pieces(text or "")))
 
 
 @lru_cache(maxsize=2)
