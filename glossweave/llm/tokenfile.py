@@ -2,9 +2,9 @@
 
 A shard holds a range of documents in ascending doc_id:
 
-    32 bytes  b"GWIDS001", then little-endian: bytes per id u4, shard u4, documents u8, ids u8
-    16 bytes a document: doc_id i8, number of ids u8
-    the ids of all documents, one after another, unsigned
+    32 bytes  b"GWIDS001", then big-endian: bytes per id u4, shard u4, documents u8, ids u8
+    16 bytes a document, little-endian: doc_id i8, number of ids u8
+    the ids of all documents, one after another, little-endian unsigned
     one line feed
 
 Ids of vocabularies up to 65,536 take two bytes.  Shards go through Spark's own
@@ -34,23 +34,29 @@ from glossweave.llm import mph
 from glossweave.llm.common import shared, written
 from glossweave.llm.encode import encoder
 
-MAGIC, HEAD, HEAD_SIZE, ENTRY, BUCKET = b"GWIDS001", "<8sIIQQ", 32, np.dtype([("key", "<i8"), ("n", "<u8")]), 16_384
+MAGIC, HEAD, HEAD_SIZE, ENTRY, BUCKET = b"GWIDS001", ">8sIIQQ", 32, np.dtype([("key", "<i8"), ("n", "<u8")]), 16_384
+#: A shard has at least so many rows, if there are so many.
+SHARD_ROWS = 1000
+#: Places of documents in shards travel to the shards up to this size, beyond it both meet in a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: A null doc_id is stored as this key and comes first.
 NULL = -(1 << 63)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, width: int, shard_chars: int) -> None:
-    """Encode all documents (doc_id, text) into shards of about shard_chars code points."""
+def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, width: int, shard_bytes: int) -> None:
+    """Encode all documents (doc_id, text) into shards of about shard_bytes of the input, as Spark estimates its size."""
     docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 32)).first()[0] or 0
+    # Spark knows a size from files' sizes alone, and makes up a huge one where there are no files.
+    size, rows = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), docs.count()
+    shards = max(1, min(-(-size // shard_bytes), -(-rows // SHARD_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(tokenizer, kind, f"<u{width}"), end_id.to_bytes(width, "little")
         keys, counts, payload = [], [], []
         for batch in batches:
             keys += [NULL if k is None else k for k in batch.column(0).to_pylist()]
-            for text in batch.column(1):
-                payload += [encode(text.as_py()), tail]
+            for text in batch.column(1).to_pylist():
+                payload += [encode(text), tail]
                 counts.append(len(payload[-2]) // width + 1)
         if keys:
             entries = np.empty(len(keys), ENTRY)
@@ -58,7 +64,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
             head = struct.pack(HEAD, MAGIC, width, TaskContext.get().partitionId(), len(keys), sum(counts))
             yield pa.RecordBatch.from_arrays([pa.array([b"".join([head, entries.tobytes(), *payload])], pa.binary())], ["shard"])
 
-    ranged = docs.repartitionByRange(max(1, -(-size // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(run, "shard binary").select(F.col("shard").cast("string")).write.text(path)
 
 
@@ -132,28 +138,25 @@ def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     let a key pass that was never stored, with a chance of 2**-32.
     """
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array([parse(content.as_py())[0]], pa.int64()), pa.array([content.as_py()], pa.binary())], ["shard", "content"])
-
-    def read(wanted: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        out = wanted[["key", "shard", "first", "n"]].assign(ids_crc32=0)
-        if not len(wanted):
-            return out
-        content = files["content"].iloc[0]
-        _, width, entries, base = parse(content)
-        firsts = np.cumsum(entries["n"]).astype(np.int64) - entries["n"].astype(np.int64)
-        if not (entries["key"][np.searchsorted(firsts, out["first"].to_numpy())] == out["key"].to_numpy()).all():
-            raise ValueError("the index and the shards differ")
-        out["ids_crc32"] = [zlib.crc32(np.frombuffer(content, f"<u{width}", n, base + width * a).astype("<u4").tobytes()) for a, n in zip(out["first"], out["n"], strict=True)]
-        return out
-
-    shards = read_files(spark, path).mapInArrow(named, "shard long, content binary")
-    return places.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(read, "key long, shard long, first long, n long, ids_crc32 long")
-
-
-def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, width: int = 2, shard_chars: int = 16_000_000) -> DataFrame:
+            for content, cells in zip(batch.column(0), batch.column(1), strict=True):
+                content, (key, first, n) = content.as_py(), (cells.values.field(i).to_numpy() for i in range(3))
+                shard, width, entries, base = parse(content)
+                firsts = np.cumsum(entries["n"]).astype(np.int64) - entries["n"].astype(np.int64)
+                if not (entries["key"][np.searchsorted(firsts, first)] == key).all():
+                    raise ValueError("the index and the shards differ")
+                crc = [zlib.crc32(np.frombuffer(content, f"<u{width}", m, base + width * a).astype("<u4").tobytes()) for a, m in zip(first, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, np.full(len(key), shard), first, n, crc)], ["key", "shard", "first", "n", "ids_crc32"])
+
+    wanted = written(places.groupBy("shard").agg(F.collect_list(F.struct("key", "first", "n")).alias("cells")), "places")
+    small = (wanted.agg(F.sum(F.size("cells"))).first()[0] or 0) * 24 <= BROADCAST_BYTES
+    shards = read_files(spark, path).withColumn("shard", F.conv(F.hex(F.substring("content", 13, 4)), 16, 10).cast("long"))
+    met = shards.join(F.broadcast(wanted) if small else wanted, "shard").select("content", "cells")
+    return met.mapInArrow(read, "key long, shard long, first long, n long, ids_crc32 long")
+
+
+def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, width: int = 2, shard_bytes: int = 3 << 20) -> DataFrame:
     """Write the ids of all documents, index them, and read each document back by its key.
 
     Returns doc_id, start (ids of all documents before it), n_tokens and ids_crc32, a
@@ -163,7 +166,7 @@ def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id:
     """
     spark = docs.sparkSession
     path = f"{shared(spark)}/ids"
-    write_shards(docs, path, tokenizer, kind, end_id, width, shard_chars)
+    write_shards(docs, path, tokenizer, kind, end_id, width, shard_bytes)
     index, totals, buckets = build_index(spark, path)
     keys = docs.groupBy(F.coalesce("doc_id", F.lit(NULL)).alias("key")).agg(F.count("*").alias("copies")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
     rows = fetch(spark, path, look_up(index, keys, buckets))

@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from glossweave.llm import mph
+from glossweave.llm import mph, tokenfile
 from glossweave.llm.tokenfile import write_and_read
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,11 +17,14 @@ def test_hash_is_minimal_and_perfect():
         assert sorted(mph.find(mph.build(keys), n, keys)) == list(range(n))
 
 
-def test_files_come_back(spark):
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_files_come_back(spark, monkeypatch, bound):
+    monkeypatch.setattr(tokenfile, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(tokenfile, "SHARD_ROWS", 40)
     tok = Tokenizer.from_file(PATH)
     rows = [(i * 7 % 501, f"text {i}\nwith  lines" * (i % 9)) for i in range(500)] + [(7, "again"), (7, "again"), (9000, None), (9001, ""), (None, "no key"), (-5, "é" * 90000)]
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, content string, n long")
-    got = write_and_read(df, PATH, shard_chars=20_000).collect()
+    got = write_and_read(df, PATH, shard_bytes=4_000).collect()
     expected, start = [], 0
     for k, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
