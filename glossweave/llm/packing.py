@@ -133,15 +133,20 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         encode, packer = encoder(tokenizer, kind, "<u4"), Packer(capacity, group, part, slack)
         base, tail = TaskContext.get().partitionId() * PER_PARTITION, end_id.to_bytes(4, "little")
 
-        def rows(found):
+        def rows(found: list[tuple]) -> pa.RecordBatch:
             out = [(d[0], s, n, zlib.crc32(d[1][4 * s : 4 * (s + n)]), len(d[1]) // 4, base + q, o, z) for d, s, n, q, o, z in found]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
+        found: list[tuple] = []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + tail
-                yield from rows(packer.add((key, ids), len(ids) // 4))
-        yield from rows(packer.end())
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text) + tail
+                found += packer.add((key, ids), len(ids) // 4)
+                if len(found) > 5000:
+                    yield rows(found)
+                    found = []
+        found += packer.end()
+        if found:
+            yield rows(found)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
