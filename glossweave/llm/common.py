@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see: under spark.checkpoint.dir, or a local one if that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,24 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import chat, decontam, linededup, neardup, packing, pii, quality, tokenfile
-from glossweave.llm.common import table
-
-
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from glossweave.llm import chat, decontam, html_extract, linededup, neardup, packing, pii, quality, tokenfile, urlfilter
+from glossweave.llm.common import table, tokenizer
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.report(table(spark, sf_dir, "pages"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -32,7 +30,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return tokenfile.write_and_read(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,18 +49,32 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_url_filter": op3_url_filter,
     "op4_chat": op4_chat,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
     "op8_decontamination": decontam.SQL,
     "op10_near_duplicates": neardup.SQL,
