@@ -9,7 +9,8 @@
    their signatures.  Each member of a block is the centre of a small star: edges to the
    block's own centre and to its NEAREST nearest by signature, if the estimate allows
    the similarity.  So pairs grow with members, not with their square, and a cluster
-   without any common centre still hangs together.
+   without any common centre still hangs together.  Of each OWN bands, only the first
+   in which a pair agrees looks at it, so other bands have room for other pairs.
 5. Candidate edges are confirmed on the full sets, made again for the documents that
    have any, and confirmed links are joined into components by minimum labels.
 
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from glossweave.llm import shingles
 from glossweave.llm.common import written
 
-BLOCK, NEAREST, HOT = 384, 5, 4096
+BLOCK, NEAREST, OWN, HOT = 1024, 4, 16, 4096
 #: An estimate this far under the asked similarity still makes a candidate: about four standard deviations.
-MARGIN = 0.15
+MARGIN = 0.12
 BROADCAST_ROWS = 1_000_000
 #: Stands for a null doc_id: the largest.
 NULL = (1 << 63) - 1
@@ -65,12 +66,15 @@ def based(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, BASE)
 
 
-def block_edges(sig: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of rows of a block: everyone's nearest, and everyone with the centre."""
-    m = len(sig)
+def block_edges(sig: np.ndarray, band: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows of a block of one band: everyone's nearest, and everyone with the centre."""
+    m, first = len(sig), band // OWN * OWN
     alike = np.empty((m, m), np.float32)
     for i in range(m):
-        alike[i] = (sig == sig[i]).mean(axis=1)
+        same = sig == sig[i]
+        alike[i] = same.mean(axis=1)
+        earlier = same[:, first * shingles.ROWS : band * shingles.ROWS].reshape(m, band - first, shingles.ROWS)
+        alike[i, earlier.all(axis=2).any(axis=1)] = -1
     np.fill_diagonal(alike, -1)
     centre = int(alike.sum(axis=1).argmax())
     near = np.argpartition(-alike, min(NEAREST, m - 1) - 1, axis=1)[:, :NEAREST]
@@ -84,12 +88,12 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sigs, done = None, [], [], set()
+        key, band, docs, sigs, done = None, 0, [], [], set()
 
         def block(last: bool):
             found = []
             if len(docs) > 1:
-                found = [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in block_edges(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(docs), -1), least) if docs[i] != docs[j]]
+                found = [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in block_edges(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(docs), -1), band, least) if docs[i] != docs[j]]
             # Blocks of one bucket overlap, so neighbours across a cut still meet.
             overlap = 0 if last else BLOCK // 4
             docs[:], sigs[:] = docs[len(docs) - overlap :], sigs[len(sigs) - overlap :]
@@ -101,10 +105,10 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for k, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, b, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     out += block(True)
-                    key = k
+                    key, band = k, b
                 elif len(docs) >= BLOCK:
                     out += block(False)
                 docs.append(d)
@@ -118,10 +122,11 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     shared = rows.withColumn("size", F.expr("count(*) over (partition by key)")).where("size > 1")
     shared = shared.join(classes.select("doc", "sig"), "doc")
     # The rest of the signature, from the row after the band: the same for no two bands.
-    rest = F.concat(F.expr(f"substring(sig, (band + 1) * {shingles.ROWS} + 1)"), F.expr(f"substring(sig, 1, (band + 1) * {shingles.ROWS})"))
+    width = 2 * shingles.ROWS
+    rest = F.concat(F.expr(f"substring(sig, (band + 1) * {width} + 1)"), F.expr(f"substring(sig, 1, (band + 1) * {width})"))
     shared = shared.withColumns({"rest": rest, "salt": F.when(F.col("size") > HOT, F.substring(rest, 1, 1))})
     shared = shared.withColumn("bucket", F.xxhash64("key", "salt"))
-    blocks = shared.repartition("bucket").sortWithinPartitions("bucket", "rest", "doc").select("bucket", "doc", "sig")
+    blocks = shared.repartition("bucket").sortWithinPartitions("bucket", "rest", "doc").select("bucket", "band", "doc", "sig")
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 

@@ -124,8 +124,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def short(signature: np.ndarray) -> np.ndarray:
-    """One byte a bin, for estimates: unequal minima agree with a chance of 1/256."""
-    return (mix(signature, 31) & np.uint64(255)).astype(np.uint8)
+    """Two bytes a bin, for estimates: unequal minima agree with a chance of 2**-16."""
+    return (mix(signature, 31) & np.uint64(65535)).astype(np.uint16)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
