@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as a class for Java's and Python's regular expressions.
 SPACE = "\\x20\\x09-\\x0D"
 
+#: Of an Arrow batch; a row that is longer makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,12 +39,23 @@ def shared(spark: SparkSession) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    """Delete a folder, at the latest when Python ends; on other file systems only while the session lives."""
+    if path.startswith("file:"):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended, and with it the folder's use
-        return
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES: task and worker hold several copies of one.
+
+    Sets the session's limits, which Spark reads when it plans; smaller ones stay.
+    """
+    conf = df.sparkSession.conf
+    if int(str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
 
 
 def written(df: DataFrame, name: str = "part") -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glossweave.llm import block_labeller
+from glossweave.llm.common import map_arrow
 from glossweave.llm.html_blocks import blocks, features
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -31,4 +32,4 @@ def extracted(pages: DataFrame, part: int = 200) -> DataFrame:
                 texts = ["\n".join(b.text for b, k in zip(bs, ks, strict=True) if k) for bs, ks in zip(found, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return map_arrow(pages.select("page_id", "url", "html"), run, SCHEMA)

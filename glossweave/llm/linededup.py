@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import written
+from glossweave.llm.common import map_arrow, written
 from glossweave.llm.cuckoo import Cuckoo
 
 BROADCAST_BYTES, SHARD_KEYS = 32 << 20, 50_000
@@ -67,7 +67,7 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
             pairs = _pairs(keys)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(owners, pa.int64())], ["k1", "k2", "doc"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{KEY}, doc long")
+    return map_arrow(docs.select("doc_id", "text"), run, f"{KEY}, doc long")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ class LineIndex:
                     i += n
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.int64()))), pa.array(lines, pa.int64())], [*names, "__keys", "__n_lines"])
 
-        probed = docs.mapInArrow(suspects, f"{shown}, __keys array<array<bigint>>, __n_lines long")
+        probed = map_arrow(docs, suspects, f"{shown}, __keys array<array<bigint>>, __n_lines long")
         clean = probed.where("__keys is null").drop("__keys").withColumn("__n_dropped", F.lit(0).cast("long"))
 
         # What the filters let through: only the keys travel to the exact counts, and their verdicts to the documents.
@@ -195,7 +195,7 @@ class LineIndex:
 
         met = probed.where("__keys is not null").drop("__keys").withColumn("__doc", F.coalesce("doc_id", F.lit(NULL)))
         met = met.join(verdicts.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*names, "__n_lines", "__drop")
-        return clean.unionByName(met.mapInArrow(dropped, f"{shown}, __n_lines long, __n_dropped long"))
+        return clean.unionByName(map_arrow(met, dropped, f"{shown}, __n_lines long, __n_dropped long"))
 
 
 def _hash(pairs: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm import shingles
-from glossweave.llm.common import written
+from glossweave.llm.common import map_arrow, written
 
 BLOCK, NEAREST, OWN, HOT = 1024, 4, 16, 4096
 #: An estimate this far under the asked similarity still makes a candidate: about four standard deviations.
@@ -63,7 +63,7 @@ def based(docs: DataFrame) -> DataFrame:
                 columns = [part.column(0).fill_null(NULL), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "d1", "d2", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, BASE)
+    return map_arrow(docs.select("doc_id", "text"), run, BASE)
 
 
 def block_edges(sig: np.ndarray, band: int, least: float) -> list[tuple[int, int]]:
@@ -127,7 +127,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     shared = shared.withColumns({"rest": rest, "salt": F.when(F.col("size") > HOT, F.substring(rest, 1, 1))})
     shared = shared.withColumn("bucket", F.xxhash64("key", "salt"))
     blocks = shared.repartition("bucket").sortWithinPartitions("bucket", "rest", "doc").select("bucket", "band", "doc", "sig")
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(blocks, run, "a long, b long").distinct()
 
 
 def confirmed(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
@@ -146,9 +146,9 @@ def confirmed(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
             ok = [shingles.similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = written(wanted.mapInArrow(sets, "doc long, shingles binary"), "sets")
+    made = written(map_arrow(wanted, sets, "doc long, shingles binary"), "sets")
     sides = edges.join(made.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(made.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(verdicts, "a long, b long").distinct()
+    return map_arrow(sides.select("a", "b", "x", "y"), verdicts, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from glossweave.llm.common import map_arrow
 from glossweave.llm.encode import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -149,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
         if found:
             yield rows(found)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

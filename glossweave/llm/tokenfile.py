@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm import mph
-from glossweave.llm.common import shared, written
+from glossweave.llm.common import map_arrow, shared, written
 from glossweave.llm.encode import encoder
 
 MAGIC, HEAD, HEAD_SIZE, ENTRY, BUCKET = b"GWIDS001", ">8sIIQQ", 32, np.dtype([("key", "<i8"), ("n", "<u8")]), 16_384
@@ -65,7 +65,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join([head, entries.tobytes(), *payload])], pa.binary())], ["shard"])
 
     ranged = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(run, "shard binary").select(F.col("shard").cast("string")).write.text(path)
+    map_arrow(ranged, run, "shard binary").select(F.col("shard").cast("string")).write.text(path)
 
 
 def parse(content: bytes) -> tuple[int, int, np.ndarray, int]:
@@ -96,7 +96,7 @@ def build_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, i
                 nth = np.arange(len(e)) - np.searchsorted(e["key"], e["key"])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e["key"], nth, np.full(len(e), shard, np.int64), np.cumsum(n) - n, n)], ["key", "nth", "shard", "first", "n"])
 
-    entries = written(read_files(spark, path).mapInArrow(directory, "key long, nth long, shard long, first long, n long"), "directory")
+    entries = written(map_arrow(read_files(spark, path), directory, "key long, nth long, shard long, first long, n long"), "directory")
     buckets = max(1, entries.count() // BUCKET)
 
     def hashed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +153,7 @@ def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     small = (wanted.agg(F.sum(F.size("cells"))).first()[0] or 0) * 24 <= BROADCAST_BYTES
     shards = read_files(spark, path).withColumn("shard", F.conv(F.hex(F.substring("content", 13, 4)), 16, 10).cast("long"))
     met = shards.join(F.broadcast(wanted) if small else wanted, "shard").select("content", "cells")
-    return met.mapInArrow(read, "key long, shard long, first long, n long, ids_crc32 long")
+    return map_arrow(met, read, "key long, shard long, first long, n long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, width: int = 2, shard_bytes: int = 3 << 20) -> DataFrame:
