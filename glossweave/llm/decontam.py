@@ -77,11 +77,12 @@ def matched(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     both = docs.withColumns({"__k": k, "__h": h}).join(candidates, ["__k", "__h"], "left")
     both = both.withColumn("__w", words(F.col("text")))
     hits = F.filter("__c", lambda c: F.slice("__w", c["start"] + 1, c["length"]) == c["win"])
-    both = both.withColumn("__n_words", F.size("__w").cast("long")).withColumn("__hits", F.coalesce(hits, F.array()))
+    both = both.withColumns({"__n_words": F.size("__w").cast("long"), "__hits": F.coalesce(hits, F.array())})
     places = F.flatten(F.transform("__hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
-    both = both.withColumn("__n_hit", F.size(F.array_distinct(places)).cast("long"))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda c: c["items"]))))
-    return both.withColumn("__items", items).drop("__k", "__h", "__c", "__w", "__hits")
+    found = F.struct(F.col("__n_words"), F.size(F.array_distinct(places)).cast("long").alias("__n_hit"), items.alias("__items"))
+    # explode() of one element keeps filters on the result above it: pushed below, they would split the text for each candidate.
+    return both.select(*docs.columns, F.explode(F.array(found)).alias("__found")).select(*docs.columns, "__found.*")
 
 
 def contaminated() -> Column:
