@@ -23,11 +23,17 @@ PIECES = {
     "word": re.compile(f"{_KNOWN}|[^{WHITE}]+").findall,
 }
 
+_LETTERS_ONLY = re.compile(f" ?[{LETTERS}]+").fullmatch
+#: Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder(dict):
     """Ids of a text as little-endian bytes of ``dtype``; null is the empty text.
 
-    It is the memo itself, from pieces to ids.  kind: a key of PIECES.  Strings of
+    It is the memo itself, from pieces to ids.  A piece of letters alone is one word to
+    both kinds, so it goes straight to the library's model; others take the whole way.  kind: a key of PIECES.  Strings of
     special tokens in a text are ordinary text.  Beyond ``memo`` pieces it starts anew.
     """
 
@@ -36,10 +42,15 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.lower = self.tokenizer.model, kind == "word"
         self.pieces, self.width, self.limit = PIECES[kind], {"<u2": "H", "<u4": "I"}[dtype], memo
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if _LETTERS_ONLY(piece):
+            shown = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in self.model.tokenize(shown)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         out = self[piece] = struct.pack(f"<{len(ids)}{self.width}", *ids)
         return out
 

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from glossweave.llm.encode import Encoder
 
 ODD = [chr(i) for i in range(1, 0x3100) if chr(i).isspace()] + list("aZé'sdßΣςİ1٣.-  \n\n\t,%") + ["<|endoftext|>", "'ll", "̈", "​", "한", "ᄒ", "ᅡ", "\U00010400", "ā", "abc", "é, "]
+ODD += ["É", "Ünï", " straße", " THE", "ÿ", "ÀÖØ", "×", "÷", "µ", "ª"]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
