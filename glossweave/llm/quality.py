@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import SPACE, written
 
-#: rule: (measure, votes bad if true, votes good if true)
+#: rule: (measure x, votes bad if, votes good if), in SQL over the measures' names.
 RULES = {
-    "symbols": ("symbols / words", "x > 0.1", "x < 0.03"),
-    "word_length": ("word_chars / words", "x < 2.5 or x > 12", "x between 3.5 and 7"),
-    "dup_lines": ("if(lines > 3, dup_lines / lines, null)", "x > 0.45", "x < 0.2"),
-    "repeats": ("repeats / words", "x > 0.3", "x < 0.15"),
-    "variety": ("distinct_words / words", "x < 0.1", "x > 0.3"),
-    "capitals": ("capitals / word_chars", "x > 0.3", "x < 0.1"),
-    "line_ends": ("if(lines > 9, ended_lines / lines, null)", "x < 0.1", "x > 0.6"),
-    "shouts": ("shouts / words", "x > 0.3", "x < 0.05"),
+    "symbols": ("try_divide({symbols}, {words})", "{x} > 0.1", "{x} < 0.03"),
+    "word_length": ("try_divide({word_chars}, {words})", "{x} < 2.5 or {x} > 12", "{x} between 3.5 and 7"),
+    "dup_lines": ("if({lines} > 3, {dup_lines} / {lines}, null)", "{x} > 0.45", "{x} < 0.2"),
+    "repeats": ("try_divide({repeats}, {words})", "{x} > 0.3", "{x} < 0.15"),
+    "variety": ("try_divide({distinct_words}, {words})", "{x} < 0.1", "{x} > 0.3"),
+    "capitals": ("try_divide({capitals}, {word_chars})", "{x} > 0.3", "{x} < 0.1"),
+    "line_ends": ("if({lines} > 9, {ended_lines} / {lines}, null)", "{x} < 0.1", "{x} > 0.6"),
+    "shouts": ("try_divide({shouts}, {words})", "{x} > 0.3", "{x} < 0.05"),
 }
+MEASURES = ["words", "word_chars", "symbols", "lines", "dup_lines", "repeats", "distinct_words", "capitals", "ended_lines", "shouts"]
 GOOD = "good"
 CLASSES = (GOOD, *RULES)
 #: Pseudo-counts of (bad, good) votes: of a rule in its own class, in another bad class, in good documents; and of the classes.
@@ -84,24 +85,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def voted(measures: DataFrame) -> DataFrame:
     """Adds __q_code, the votes as digits of base 3 (0 abstains, 1 good, 2 bad), and __q_failed for the base rules."""
-    names = ["words", "word_chars", "symbols", "lines", "dup_lines", "repeats", "distinct_words", "capitals", "ended_lines", "shouts"]
-
-    def own(sql: str) -> str:
-        return " ".join(_P + t if t in names else t for t in sql.replace("(", " ( ").replace(")", " ) ").replace(",", " , ").split())
-
-    votes = {}
-    for rule, (measure, bad, good) in RULES.items():
-        x = F.try_divide(F.expr(own(measure.rsplit(" / ", 1)[0])), F.expr(own(measure.rsplit(" / ", 1)[1]))) if not measure.startswith("if") else F.expr(own(measure))
-        votes[_P + "x_" + rule] = x
-    q = measures.withColumns(votes)
-    q = q.withColumns({_P + "v_" + r: F.expr(f"case when {_on(bad, r)} then 1 when {_on(good, r)} then 0 end") for r, (_, bad, good) in RULES.items()})
+    own = {m: _P + m for m in MEASURES}
+    q = measures.withColumns({f"{_P}x_{r}": F.expr(x.format(**own)) for r, (x, _, _) in RULES.items()})
+    code = F.lit(0)
+    for k, (r, (_, bad, good)) in enumerate(RULES.items()):
+        x = f"{_P}x_{r}"
+        code = code + F.expr(f"case when {bad.format(x=x)} then 2 when {good.format(x=x)} then 1 else 0 end") * 3**k
     failed = (F.col(_P + "words") < 50) | (100 * F.col(_P + "repeats") > 50 * F.col(_P + "words"))
-    code = sum((F.coalesce(F.col(_P + "v_" + r) + 1, F.lit(0)) * 3**k for k, r in enumerate(RULES)), F.lit(0))
-    return q.withColumns({_P + "failed": failed, _P + "code": code}).drop(*(_P + x + r for r in RULES for x in ("x_", "v_")))
-
-
-def _on(sql: str, rule: str) -> str:
-    return " ".join(f"{_P}x_{rule}" if t == "x" else t for t in sql.split())
+    return q.withColumns({_P + "failed": failed, _P + "code": code}).drop(*(f"{_P}x_{r}" for r in RULES))
 
 
 def _votes(code: int) -> list[tuple[str, int]]:
