@@ -6,27 +6,32 @@ It reads the whole sequence of blocks from both ends.  It is trained here, on pa
 
 from __future__ import annotations
 
+import os
+import pickle
 import random
+import subprocess
+import sys
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
 from glossweave.llm.html_blocks import WIDTH, blocks, features
 
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 32, 3000, 6, 20, 0.01
+HIDDEN, PAGES, EPOCHS, BATCH, RATE = 32, 3000, 5, 20, 0.01
 MARK = ""
 
 #: Names that page makers give to parts.
 NAMES = {
-    "menu": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav", "links", "main-menu"],
-    "header": ["header", "masthead", "top", "branding", "site-header", "logo", "page-header"],
-    "footer": ["footer", "bottom", "colophon", "site-footer", "copyright", "legal"],
-    "side": ["sidebar", "aside", "widget", "related", "right-column", "trending", "popular", "more-stories", "recommended", "tags"],
-    "notice": ["cookie", "cookie-notice", "consent", "alert", "notice", "gdpr", "popup", "newsletter", "subscribe", "paywall", "modal", "privacy", "message"],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor"],
+    "menu": ["nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "topnav", "links", "main-menu", "top-bar"],
+    "header": ["header", "masthead", "top", "branding", "site-header", "logo", "page-header", "site-branding", "top-bar"],
+    "footer": ["footer", "bottom", "colophon", "site-footer", "copyright", "legal", "contentinfo", "disclaimer"],
+    "side": ["sidebar", "aside", "widget", "related", "right-column", "trending", "popular", "more-stories", "recommended", "tags", "complementary", "secondary", "see-also", "promo-box"],
+    "notice": ["cookie", "cookie-notice", "consent", "alert", "notice", "gdpr", "popup", "newsletter", "subscribe", "paywall", "modal", "privacy", "message", "alert alert-info", "warning", "site-notice", "announcement", "banner"],
+    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor", "ad-container", "adbox", "google-ads", "native-ad"],
     "form": ["search", "login", "signup", "contact-form", "subscribe-form"],
     "share": ["share", "social", "toolbar", "share-buttons"],
-    "comments": ["comments", "comment", "comment-list", "discussion", "replies", "respond", "user-comments", "reactions"],
+    "comments": ["comments", "comment", "comment-list", "discussion", "replies", "respond", "user-comments", "reactions", "comments-area", "feedback"],
     "main": ["content", "article", "post", "entry", "entry-content", "story", "main", "article-body", "post-body", "text", "page", "body"],
 }
 TAGS = {"menu": ["nav", "nav", "div", "ul"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "footer", "div"], "side": ["aside", "aside", "div", "section"], "notice": ["div", "div", "section", "p", "aside"], "ad": ["div", "div", "aside", "p", "section"], "form": ["form"], "share": ["div", "ul"], "comments": ["section", "div", "div", "ul", "ol"], "main": ["article", "article", "main", "div", "section", "td"]}
@@ -74,7 +79,8 @@ class _Maker:
         plain = tag in ("div", "p", "td", "ul", "ol", "section")
         name = ""
         if (plain and self.styled) or r.random() < 0.4:
-            name = f' {r.choice(["class", "class", "id"])}="{" ".join([r.choice(NAMES[kind]), *[self.word() for _ in range(r.randint(0, 1))]])}"'
+            end = r.choice([""] * 6 + ["-container", "-wrapper", "-box", "-inner", "-area", "-section", "s", "1"])
+            name = f' {r.choice(["class", "class", "class", "id", "id", "role"])}="{" ".join([r.choice(NAMES[kind]) + end, *[self.word() for _ in range(r.randint(0, 1))]])}"'
         return f"<{tag}{name}>{inside}</{tag}>"
 
     def listed(self, kind: str) -> str:
@@ -109,7 +115,8 @@ class _Maker:
             i = r.randrange(len(words))
             words[i] = r.choice(["<a href='/x'>{}</a>", "<b>{}</b>", "<em>{}</em>", "<span>{}</span>"]).format(words[i])
             text = " ".join(words)
-        return r.choice(["<p>{}</p>"] * 8 + ["<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<h3>{}</h3>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<section><p>{}</p></section>"]).format(text)
+        named = f"<div class='{r.choice(['para', 'paragraph', 'text', 'p', 'body-text', 'headline', 'summary', 'lead', self.word()])}'>{{}}</div>"
+        return r.choice(["<p>{}</p>"] * 8 + [named, "<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<h3>{}</h3>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<section><p>{}</p></section>"]).format(text)
 
     def page(self) -> str:
         r, some = self.r, lambda p, kind: self.part(kind) if self.r.random() < p else ""
@@ -119,13 +126,13 @@ class _Maker:
             body += [body[-1]] * r.randint(1, 12)
         if r.random() < 0.15:
             body = [f"<p>{MARK}{self.sentence()}</p>" for _ in body]
-        for p, kind in ((0.12, "ad"), (0.08, "side"), (0.08, "share"), (0.05, "form"), (0.05, "notice")):
+        for p, kind in ((0.18, "ad"), (0.1, "side"), (0.08, "share"), (0.06, "form"), (0.1, "notice")):
             if r.random() < p:
                 body.insert(r.randint(0, len(body)), self.part(kind))
         main = self.wrapped("main", title + "".join(body) + some(0.12, "share") + some(0.08, "comments"))
         for _ in range(r.choice([0, 0, 1, 2])):
             main = f"<div{r.choice(['', ' class=wrapper', ' id=page', ' class=container', ' class=row'])}>{main}</div>"
-        top = "".join(r.sample([some(0.3, "notice"), some(0.5, "header"), some(0.6, "menu"), some(0.4, "ad"), some(0.2, "form"), some(0.15, "side")], 6))
+        top = "".join(r.sample([some(0.4, "notice"), some(0.5, "header"), some(0.6, "menu"), some(0.4, "ad"), some(0.2, "form"), some(0.15, "side")], 6))
         low = "".join(r.sample([some(0.35, "side"), some(0.2, "ad"), some(0.3, "comments"), some(0.15, "form"), some(0.1, "share"), some(0.1, "menu")], 6)) + some(0.75, "footer") + some(0.1, "notice")
         return f"<html><head><title>{self.sentence()}</title></head><body>{top}{main}{low}" + r.choice(["</body></html>", ""])
 
@@ -215,6 +222,15 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def trained(seed: int = 1) -> dict[str, np.ndarray]:
+    """fit() in a process of its own with one thread: these matrices are too small for more."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = os.environ | dict.fromkeys(("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"), "1")
+    env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [env.get("PYTHONPATH")])])
+    run = f"import pickle, sys; from glossweave.llm.block_labeller import fit; pickle.dump(fit({seed}), sys.stdout.buffer)"
+    return pickle.loads(subprocess.run([sys.executable, "-c", run], env=env, stdout=subprocess.PIPE, check=True).stdout)
+
+
+def fit(seed: int) -> dict[str, np.ndarray]:
     """The weights after EPOCHS over PAGES made pages; the same for a seed."""
     data = [e for e in map(example, range(PAGES)) if len(e[0])]
     w, r = start(seed), random.Random(seed)

@@ -24,8 +24,11 @@ CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozense
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]++|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-PATH, WORDS, NUMBERS = 128, 32, 8
-WIDTH = PATH + WORDS + NUMBERS
+#: Widths of the hashed path, the hashed names of the nearest elements, the hashed words, and the measures.
+PATH, NEAR, WORDS, NUMBERS = 128, 96, 32, 8
+WIDTH = PATH + NEAR + WORDS + NUMBERS
+#: So many block elements around a text are its nearest.
+NEAREST = 3
 
 
 @dataclass
@@ -33,6 +36,7 @@ class Block:
     text: str
     links: int
     path: np.ndarray
+    near: np.ndarray
 
 
 class _Element:
@@ -55,6 +59,17 @@ class _Element:
             e.path = v
         return v
 
+    def near(self) -> np.ndarray:
+        v, e, n = np.zeros(NEAR, np.float32), self, 0
+        while e is not None and n < NEAREST:
+            if e.tag not in INLINE:
+                for name in e.names:
+                    h = zlib.crc32(b"near" + name.encode())
+                    v[h % NEAR] += (1.0 if h & 0x10000 else -1.0) * (NEAREST - n) / NEAREST
+                n += 1
+            e = e.parent
+        return v
+
 
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     out = ["t:" + tag]
@@ -86,7 +101,8 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, (at or stack[-1]).vector()))
+                e = at or stack[-1]
+                out.append(Block(text, links, e.vector(), e.near()))
             parts, at, links = [], None, 0
 
     while pos < len(page):
@@ -143,8 +159,9 @@ def features(found: list[Block]) -> np.ndarray:
         words = b.text.split()
         x[i, :PATH] = np.clip(b.path, -3, 3)
         counts = np.bincount([zlib.crc32(w.lower().encode()) % WORDS for w in words], minlength=WORDS)
-        x[i, PATH : PATH + WORDS] = counts / np.sqrt(len(words))
+        x[i, PATH : PATH + NEAR] = 2 * b.near
+        x[i, PATH + NEAR : -NUMBERS] = counts / np.sqrt(len(words))
         n = len(b.text)
         ends = sum(b.text.count(c) for c in ".!?")
-        x[i, PATH + WORDS :] = np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.links / n), min(1.0, 5 * ends / len(words)), b.text[-1] in ".!?\"'”»", sum(c.isdigit() for c in b.text) / n, i / len(found), b.text[0].isupper()
+        x[i, -NUMBERS:] = np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1.0, b.links / n), min(1.0, 5 * ends / len(words)), b.text[-1] in ".!?\"'”»", sum(c.isdigit() for c in b.text) / n, i / len(found), b.text[0].isupper()
     return x
