@@ -18,7 +18,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bytes of text that are hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -43,7 +43,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = space[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    size = 1 << max(21, int(len(b)).bit_length())
+    size = 1 << max(19, int(len(b)).bit_length())
     up, down = _powers(size)
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value[b] * up[: len(b)])])
