@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import urllib.request
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,34 +21,29 @@ class ConfigException(Exception):
     """There is no usable configuration."""
 
 
-def dictionary_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """COLUMNS and ord, the place in the order of files and lines; rows of fewer than ten fields are left out.
+def _numbered(spark: SparkSession, where: str) -> DataFrame:
+    """(n, line) of a file, or of a web address, which the driver reads: a dictionary is small."""
+    if where.startswith(("https://", "http://")):
+        with urllib.request.urlopen(where) as response:  # noqa: S310
+            text = response.read().decode("utf-8")
+        return spark.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
+    return lines(spark, where).select(F.monotonically_increasing_id().alias("n"), "line")
+
+
+def dictionary_lines(spark: SparkSession, places: list[str]) -> DataFrame:
+    """COLUMNS, file and ord, the place in the order of files and lines; rows of fewer than ten fields are left out.
 
     Lines are numbered with an id that grows within and between files, since each file
     is read by itself; fields that a row lacks are null.
     """
-    parts = []
-    for i, path in enumerate(paths):
-        f = lines(spark, path).select((F.lit(i).cast("long") * (1 << 56) + F.monotonically_increasing_id()).alias("ord"), strip(F.col("line")).alias("line"))
-        f = f.where("line <> '' and not startswith(line, '#')").select("ord", F.split("line", "\t").alias("f")).where(F.size("f") >= 10)
-        parts.append(f)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = reduce(DataFrame.unionByName, (_numbered(spark, p).select((F.lit(i).cast("long") * (1 << 56) + F.col("n")).alias("ord"), strip(F.col("line")).alias("line")) for i, p in enumerate(places)))
+    rows = rows.where("line <> '' and not startswith(line, '#')").select("ord", F.split("line", "\t").alias("f")).where(F.size("f") >= 10)
 
     def field(i: int, name: str) -> Column:
         value = F.get("f", F.lit(i))
         return (F.try_to_number(value, F.lit("9999999999")).cast("long") if name in ("id", "headword") else value).alias(name)
 
-    return rows.select("ord", F.lit(0).alias("file"), *(field(i, c) for i, c in enumerate(COLUMNS))).withColumn("file", (F.col("ord") / (1 << 56)).cast("int"))
-
-
-def fetched(url: str) -> str:
-    """A local copy of an https address."""
-    path = os.path.join(tempfile.mkdtemp(), "dictionary.tsv")
-    with urllib.request.urlopen(url) as response, open(path, "wb") as out:  # noqa: S310
-        out.write(response.read())
-    return f"file://{path}"
+    return rows.select("ord", (F.col("ord") / (1 << 56)).cast("int").alias("file"), *(field(i, c) for i, c in enumerate(COLUMNS)))
 
 
 def configured_paths(home: str | None = None) -> list[str]:
@@ -64,11 +59,10 @@ def configured_paths(home: str | None = None) -> list[str]:
 
 
 def open_lines(spark: SparkSession, where: str | list[str] | None = None) -> DataFrame:
-    """dictionary_lines of an https address, a path, several paths, or what is configured."""
+    """dictionary_lines of a web address, a path, several of them, or what is configured."""
     if where is None:
         where = configured_paths()
-    paths = [where] if isinstance(where, str) else where
-    return dictionary_lines(spark, [fetched(p) if p.startswith("https://") else p for p in paths])
+    return dictionary_lines(spark, [where] if isinstance(where, str) else where)
 
 
 def cedict_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

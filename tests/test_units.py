@@ -1,4 +1,7 @@
+import http.server
 import json
+import threading
+from functools import partial
 
 import pytest
 from hypothesis import given, settings
@@ -101,6 +104,16 @@ def test_dictionary_files(spark, tmp_path):
         dictionaries.configured_paths("")
 
 
+def test_dictionary_from_the_web(spark, tmp_path):
+    native(spark, tmp_path, SHUO)
+    handler = partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        lines = dictionaries.open_lines(spark, f"http://127.0.0.1:{server.server_port}/d.tsv")
+        server.shutdown()
+    assert {r.key for r in dictionary.entries(lines).collect()} == {"说", "說", "四", "语", "語"}
+
+
 def test_scripts(spark, tmp_path):
     e = native(spark, tmp_path, SHUO)
     df = spark.createDataFrame([("四种说语",), ("x",), ("",)], "text string")
