@@ -37,7 +37,7 @@ class Encoder(dict):
     special tokens in a text are ordinary text.  Beyond ``memo`` pieces it starts anew.
     """
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", memo: int = 700_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,9 +61,9 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str, dtype: str) -> Encoder:
-    """One per Python worker, which Spark uses for many tasks."""
+def encoder(path: str, kind: str, dtype: str, memo: int) -> Encoder:
+    """One per Python worker, which Spark uses for many tasks; 100,000 pieces in the memo take about 30 MB."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, kind, dtype)
+    return Encoder(path, kind, dtype, memo)

@@ -29,6 +29,8 @@ from glossweave.llm.encode import encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 #: sequence_id = partition * PER_PARTITION + number in the partition.
 PER_PARTITION = 1 << 40
+#: Pieces of text whose ids a worker remembers.
+MEMO = 250_000
 
 
 def difference(lengths: list[int], k: int) -> list[list[int]]:
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
     schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, kind, "<u4"), Packer(capacity, group, part, slack)
+        encode, packer = encoder(tokenizer, kind, "<u4", MEMO), Packer(capacity, group, part, slack)
         base, tail = TaskContext.get().partitionId() * PER_PARTITION, end_id.to_bytes(4, "little")
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -143,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, c
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + tail
                 found += packer.add((key, ids), len(ids) // 4)
-                if len(found) > 5000:
+                if len(found) > 1000:
                     yield rows(found)
                     found = []
         found += packer.end()

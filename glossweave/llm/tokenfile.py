@@ -35,6 +35,8 @@ from glossweave.llm.common import map_arrow, shared, written
 from glossweave.llm.encode import encoder
 
 MAGIC, HEAD, HEAD_SIZE, ENTRY, BUCKET = b"GWIDS001", ">8sIIQQ", 32, np.dtype([("key", "<i8"), ("n", "<u8")]), 16_384
+#: Pieces of text whose ids a worker remembers.
+MEMO = 600_000
 #: A shard has at least so many rows, if there are so many.
 SHARD_ROWS = 1000
 #: Places of documents in shards travel to the shards up to this size, beyond it both meet in a shuffle.
@@ -51,7 +53,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     shards = max(1, min(-(-size // shard_bytes), -(-rows // SHARD_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(tokenizer, kind, f"<u{width}"), end_id.to_bytes(width, "little")
+        encode, tail = encoder(tokenizer, kind, f"<u{width}", MEMO), end_id.to_bytes(width, "little")
         keys, counts, payload = [], [], []
         for batch in batches:
             keys += [NULL if k is None else k for k in batch.column(0).to_pylist()]
