@@ -5,17 +5,17 @@
 2. Documents with equal sets are one class; only its smallest doc_id goes on, so copies
    cost nothing further.
 3. Signatures fall into 32 bands of 4 rows; classes that agree in a band share a bucket.
-4. A bucket is cut into blocks of at most BLOCK neighbours in the order of the rest of
-   their signatures.  Each member of a block is the centre of a small star: edges to the
-   block's own centre and to its NEAREST nearest by signature, if the estimate allows
-   the similarity.  So pairs grow with members, not with their square, and a cluster
-   without any common centre still hangs together.  Of each OWN bands, only the first
-   in which a pair agrees looks at it, so other bands have room for other pairs.
-5. Candidate edges are confirmed on the full sets, made again for the documents that
-   have any, and confirmed links are joined into components by minimum labels.
-
-Buckets of more than HOT classes are dealt out by one more row of the signature, which
-lengthens their band; blocks stream, so a bucket is never held.
+4. Every pair of a bucket of at most SMALL classes is a candidate if the estimate allows
+   the similarity.  Candidates are confirmed on the full sets, made again for the
+   documents that have any.
+5. Larger buckets that share classes are one group.  A group is cut into parts, and every
+   two parts meet in a tile, where the intersections of all pairs are counted exactly, as
+   a product of matrices.  A tile gives a spanning forest of its links: all that
+   components need, and fewer rows than members.
+6. Links are joined into components by minimum labels.
+
+So every two classes that share a bucket are looked at.  The work of a group grows with
+the square of its members, as does the text shuffled for one of many parts; rows don't.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from glossweave.llm import shingles
 from glossweave.llm.common import map_arrow, written
 
-BLOCK, NEAREST, OWN, HOT = 1024, 4, 16, 4096
+#: Classes of a bucket whose pairs are listed; of a part of a larger group, classes and shingles.
+SMALL, PART, PART_SHINGLES = 16, 1024, 4_000_000
+#: Columns of a matrix that are multiplied at a time.
+COLUMNS = 4096
 #: An estimate this far under the asked similarity still makes a candidate: about four standard deviations.
 MARGIN = 0.12
 BROADCAST_ROWS = 1_000_000
@@ -66,68 +69,127 @@ def based(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, BASE)
 
 
-def block_edges(sig: np.ndarray, band: int, least: float) -> list[tuple[int, int]]:
-    """Pairs of rows of a block of one band: everyone's nearest, and everyone with the centre."""
-    m, first = len(sig), band // OWN * OWN
-    alike = np.empty((m, m), np.float32)
-    for i in range(m):
-        same = sig == sig[i]
-        alike[i] = same.mean(axis=1)
-        earlier = same[:, first * shingles.ROWS : band * shingles.ROWS].reshape(m, band - first, shingles.ROWS)
-        alike[i, earlier.all(axis=2).any(axis=1)] = -1
-    np.fill_diagonal(alike, -1)
-    centre = int(alike.sum(axis=1).argmax())
-    near = np.argpartition(-alike, min(NEAREST, m - 1) - 1, axis=1)[:, :NEAREST]
-    pairs = {(i, int(j)) for i in range(m) for j in near[i] if alike[i, j] >= least}
-    pairs |= {(centre, int(j)) for j in np.flatnonzero(alike[centre] >= least)}
-    return [(i, j) for i, j in {(min(p), max(p)) for p in pairs}]
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(doc, key, size, least) of each class in each bucket that it shares."""
+    rows = classes.select("doc", F.explode("bands").alias("key"))
+    return rows.withColumns({"size": F.expr("count(*) over (partition by key)"), "least": F.expr("min(doc) over (partition by key)")}).where("size > 1")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b, distinct: pairs of class representatives whose signatures allow the similarity."""
+    """(a, b) with a < b, distinct: pairs of class representatives of small buckets whose signatures allow the similarity."""
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, band, docs, sigs, done = None, 0, [], [], set()
-
-        def block(last: bool):
-            found = []
-            if len(docs) > 1:
-                found = [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in block_edges(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(docs), -1), band, least) if docs[i] != docs[j]]
-            # Blocks of one bucket overlap, so neighbours across a cut still meet.
-            overlap = 0 if last else BLOCK // 4
-            docs[:], sigs[:] = docs[len(docs) - overlap :], sigs[len(sigs) - overlap :]
-            fresh = [p for p in set(found) if p not in done]
-            if len(done) > 500_000:
-                done.clear()
-            done.update(fresh)
-            return fresh
+        key, docs, sigs = None, [], []
+
+        def bucket():
+            sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(docs), shingles.BINS)
+            for i in range(len(docs) - 1):
+                for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) + i + 1:
+                    if docs[i] != docs[j]:
+                        yield min(docs[i], docs[j]), max(docs[i], docs[j])
 
         for batch in batches:
             out = []
-            for k, b, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    out += block(True)
-                    key, band = k, b
-                elif len(docs) >= BLOCK:
-                    out += block(False)
+                    out += bucket()
+                    key, docs, sigs = k, [], []
                 docs.append(d)
                 sigs.append(s)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        if out := block(True):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    rows = classes.select("doc", F.posexplode("bands").alias("band", "key"))
-    shared = rows.withColumn("size", F.expr("count(*) over (partition by key)")).where("size > 1")
-    shared = shared.join(classes.select("doc", "sig"), "doc")
-    # The rest of the signature, from the row after the band: the same for no two bands.
-    width = 2 * shingles.ROWS
-    rest = F.concat(F.expr(f"substring(sig, (band + 1) * {width} + 1)"), F.expr(f"substring(sig, 1, (band + 1) * {width})"))
-    shared = shared.withColumns({"rest": rest, "salt": F.when(F.col("size") > HOT, F.substring(rest, 1, 1))})
-    shared = shared.withColumn("bucket", F.xxhash64("key", "salt"))
-    blocks = shared.repartition("bucket").sortWithinPartitions("bucket", "rest", "doc").select("bucket", "band", "doc", "sig")
-    return map_arrow(blocks, run, "a long, b long").distinct()
+                yield _pairs(out)
+        if out := list(bucket()):
+            yield _pairs(out)
+
+    shared = _buckets(classes).where(F.col("size") <= SMALL).select("key", "doc").join(classes.select("doc", "sig"), "doc")
+    return map_arrow(shared.repartition("key").sortWithinPartitions("key", "doc").select("key", "doc", "sig"), run, "a long, b long").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) sizes of all intersections of sets, exactly."""
+    m, sides = len(left), left + right
+    owner = np.repeat(np.arange(len(sides)), [len(s) for s in sides])
+    _, column, counts = np.unique(np.concatenate(sides), return_inverse=True, return_counts=True)
+    # What only one set has is in no intersection.
+    number = np.cumsum(counts > 1) - 1
+    owner, column = owner[counts[column] > 1], number[column[counts[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((m, len(right)), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        has = np.zeros((len(sides), COLUMNS), np.float32)
+        has[owner[at], column[at] - first] = 1
+        out += has[:m] @ has[m:].T
+    return out.astype(np.int64)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the links of a matrix between two sides."""
+    rows, columns = np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
+    edges = []
+    for start in range(len(rows)):
+        stack = [(0, start)] if rows[start] else []
+        rows[start] = False
+        while stack:
+            side, i = stack.pop()
+            new = np.flatnonzero((linked[:, i] & rows) if side else (linked[i] & columns))
+            (rows if side else columns)[new] = False
+            edges += [(int(j), i) if side else (i, int(j)) for j in new]
+            stack += [(1 - side, int(j)) for j in new]
+    return edges
+
+
+def group_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: links that join what is linked in the groups of large buckets, by all pairs of each group."""
+    large = _buckets(classes).where(F.col("size") > SMALL)
+    member = components(large.select(F.col("doc").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
+    sizes = classes.groupBy("doc").agg(F.sum("n").alias("n"))
+    parts = member.join(sizes, "doc").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    member = written(member.join(parts, "label").select("doc", "label", "parts", F.expr("cast(pmod(xxhash64(doc), parts) as int)").alias("part")), "members")
+    found = member.count()
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), "text").join(F.broadcast(member) if found <= BROADCAST_ROWS else member, "doc")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = shingles.shingle_sets(batch.column(4).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "label", "parts", "part", "shingles"])
+
+    made = written(map_arrow(texts.select("doc", "label", "parts", "part", "text"), sets, "doc long, label long, parts int, part int, shingles binary"), "sets")
+    tiles = made.select("label", "part", "doc", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def tile():
+            sides = [[r for r in rows if r[0] == part and len(r[2])] for part in key[1:]] if key else [[], []]
+            if not all(sides):
+                return []
+            (left, right), n = ([r[2] for r in s] for s in sides), [np.array([len(r[2]) for r in s], np.int64) for s in sides]
+            both = common(left, right)
+            linked = (both > 0) & (100 * both >= percent * (n[0][:, None] + n[1] - both))
+            pairs = ((sides[0][i][1], sides[1][j][1]) for i, j in forest(linked))
+            return [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+
+        for batch in batches:
+            out = []
+            for *k, part, doc, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    out += tile()
+                    key, rows = k, []
+                rows.append((part, doc, np.frombuffer(s, np.uint64)))
+            if out:
+                yield _pairs(out)
+        if out := tile():
+            yield _pairs(out)
+
+    return map_arrow(tiles.repartition("label", "p", "q").sortWithinPartitions("label", "p", "q"), run, "a long, b long").distinct()
 
 
 def confirmed(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +245,8 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     edges = written(candidates(classes, percent), "edges")
-    found = components(written(confirmed(docs, edges, percent), "links"))
+    links = confirmed(docs, edges, percent).unionByName(group_links(docs, classes, percent))
+    found = components(written(links, "links"))
     named = classes.select("d1", "d2", "n", F.col("doc").alias("first")).join(found.withColumnRenamed("doc", "first"), "first", "left")
     named = named.select("d1", "d2", "n", F.coalesce("label", "first").alias("component"))
     out = base.select("doc", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "doc"))

@@ -68,6 +68,29 @@ def test_equals_brute_force(spark):
     assert neardup.grouped(df.where("false")).collect() == []
 
 
+def template(documents, pairs, fillings=20, same=5, words=1000):
+    """Documents of one template, all at 0.82 to each other, and pairs among them at 0.86."""
+    out = []
+    for i in range(documents):
+        t = [f"w{j}" for j in range(words)]
+        for slot in range(fillings):
+            own = i - i % 2 if i < 2 * pairs and slot < same else i
+            t[10 + slot * 45] = f"f{own}x{slot}"
+        out.append((i, " ".join(t)))
+    random.Random(4).shuffle(out)
+    return out
+
+
+def test_links_inside_a_large_group(spark, monkeypatch):
+    rows = template(300, 40)
+    expected = brute(rows)
+    assert sum(d != c for d, _, c in expected) == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for part in (1024, 70):
+        monkeypatch.setattr(neardup, "PART", part, raising=False)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.grouped(df).collect()) == expected
+
+
 @given(st.lists(st.text(alphabet="aB é\n\tc", max_size=30) | st.none(), max_size=6))
 @settings(max_examples=80, deadline=None)
 def test_set_sizes(texts):
