@@ -345,6 +345,12 @@ def word_freq_doc(spark, d):
     return _frequencies(spark, d).where("document like '%7'").withColumn("idf", F.round("idf", 9))
 
 
+@query(f"with {_FREQ} select word, frequency, collection, document, round(idf, 9) as idf, doc_len from wf")
+def word_freq_doc_all(spark, d):
+    """word_freq_doc of all documents."""
+    return _frequencies(spark, d).withColumn("idf", F.round("idf", 9))
+
+
 @query(f"with {_FREQ} select document, round(sum(2.5 * frequency * idf / (frequency + 1.5 * (0.35 + 0.65 * (doc_len / 4497.0)))), 6) as bm25 from wf where word in ('tion', 'of', 'que') group by document order by sum(2.5 * frequency * idf / (frequency + 1.5 * (0.35 + 0.65 * (doc_len / 4497.0)))) desc, document limit 5000")
 def bm25_topk(spark, d):
     return ranking.ranked(_frequencies(spark, d), ["tion", "of", "que"]).withColumn("bm25", F.round("bm25", 6))
