@@ -150,6 +150,19 @@ def training_rows(spark, d):
     return evaluate.training_rows(terms, pairs)[0].drop("ord")
 
 
+@query(f"""with {_LINES}, {_CHARS}, c as (select character, count(*) as n from chars where character <> '' group by all), {_PAIRS}, b as (select bigram, count(*) as n from pairs group by all),
+t as (select bigram as term, substring(bigram, 1, 1) as x, substring(bigram, 2, 1) as y from b)
+select term, round(log2(((coalesce(f.n, 0) + case when term <> y || x then coalesce(r.n, 0) else 0 end) / (select sum(n) from b)) / (cx.n / (select sum(n) from c) * (cy.n / (select sum(n) from c)))), 9) as mi, cast(regexp_matches(term, '[有不無下上為後]') as int) as has_function_word, cast(f.n % 3 <> 0 as int) as result
+from t join c cx on cx.character = x join c cy on cy.character = y left join b f on f.bigram = term left join b r on r.bigram = y || x""")
+def training_rows_all(spark, d):
+    """Rows of all pairs of the documents, with their mutual information; labels of both kinds."""
+    k = lines(spark, d)
+    pairs = counts.bigram_counts(k)
+    terms = pairs.select(F.col("bigram").alias("term"), (F.col("n") % 3 != 0).cast("int").alias("result"), F.lit(0).alias("ord"))
+    information = colloc.mutual_information(counts.character_counts(k), pairs, terms)
+    return evaluate.training_rows(terms, information)[0].withColumn("mi", F.round("mi", 9)).drop("ord")
+
+
 @query("select quality as label, toxic as prediction, count(*) as n from labels group by all")
 def confusion(spark, d):
     return evaluate.confusion(table(spark, d, "labels"), "quality", "toxic")
