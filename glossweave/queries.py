@@ -248,11 +248,25 @@ def dict_semijoin(spark, d):
 
 @query("select p_name as key, max(p_partkey) as last from part group by p_name")
 def dict_merge(spark, d):
-    """Two files of which the later one replaces entries."""
+    """Two files of which the later one replaces entries; numbers of the first are larger, so a sense of it would show."""
+    e = dictionary.entries(_two_files(spark, d), merge="replace").where(F.col("key").contains(" "))
+    return e.select("key", F.array_max(F.transform("senses", lambda s: s["notes"].cast("long"))).alias("last"))
+
+
+def _two_files(spark, d) -> DataFrame:
+    """Parts as two dictionary files, with their numbers as notes; the second has no traditional forms."""
     first = part_lines(spark, d)
-    both = first.unionByName(first.withColumns({"file": F.lit(1), "ord": F.col("ord") + (1 << 40), "traditional": F.lit("\\N")}))
-    e = dictionary.entries(both, merge="replace").where(F.col("key").contains(" "))
-    return e.select("key", F.element_at("senses", -1)["english"].alias("e"), "senses").select("key", F.lit(0).alias("x")).join(table(spark, d, "part").groupBy(F.col("p_name").alias("key")).agg(F.max("p_partkey").alias("last")), "key").select("key", "last")
+    second = first.withColumns({"file": F.lit(1), "ord": F.col("ord") + (1 << 40), "traditional": F.lit("\\N"), "english": F.concat(F.lit("new "), "english")})
+    return first.withColumn("notes", (F.col("id") + (1 << 40)).cast("string")).unionByName(second.withColumn("notes", F.col("id").cast("string")))
+
+
+@query("""with l as (select p_name as key, p_partkey as o, 'new ' || p_type || ' ' || p_name as e from part union all
+select p_brand, p_partkey, p_type || ' ' || p_name from part where p_size % 2 <> 0 and p_brand <> p_name and p_brand not in (select p_name from part))
+select key, count(*) as n, string_agg(e, '|' order by o) as content from l group by key""")
+def dict_merge_senses(spark, d):
+    """Number and content of the senses that a merge leaves."""
+    e = dictionary.entries(_two_files(spark, d), merge="replace")
+    return e.select("key", F.size("senses").cast("long").alias("n"), F.array_join(F.transform("senses", lambda s: s["english"]), "|").alias("content"))
 
 
 def _letters(spark) -> DataFrame:

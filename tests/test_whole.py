@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+from glossweave.operators import dictionary
 from glossweave.queries import QUERIES
 
 
@@ -32,3 +33,16 @@ def test_training_rows_all_scores_every_pair(spark, tmp_path):
     assert got == expected
     assert {x[2] for x in got.values()} == {0, 1}
     assert not all(t.startswith("é") for t in got)
+
+
+def test_dict_merge_comes_from_the_merged_senses(spark, tmp_path, monkeypatch):
+    rows = [(1, "red bolt", "B1", "T1", 1), (2, "red bolt", "B2", "T2", 2), (3, "blue nut", "B1", "T3", 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert found("dict_merge") == [("blue nut", 3), ("red bolt", 2)]
+    senses = [("B1", 2, "T1 red bolt|T3 blue nut"), ("blue nut", 1, "new T3 blue nut"), ("red bolt", 2, "new T1 red bolt|new T2 red bolt")]
+    assert found("dict_merge_senses") == senses
+    entries = dictionary.entries
+    monkeypatch.setattr(dictionary, "entries", lambda x, merge: entries(x))
+    assert found("dict_merge") != [("blue nut", 3), ("red bolt", 2)]
+    assert found("dict_merge_senses") != senses
