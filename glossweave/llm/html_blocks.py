@@ -18,6 +18,8 @@ import numpy as np
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr button input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head noscript template iframe svg math object canvas audio video select textarea title".split())
+#: Of SILENT, those that without an end tag go on to the end of the page, as in browsers.
+RAW = frozenset("script style textarea title".split())
 #: An opening tag of the value ends an open element of the key.
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 
@@ -105,6 +107,7 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, links, e.vector(), e.near()))
             parts, at, links = [], None, 0
 
+    endless = set()  # tags without an end in the rest of the page
     while pos < len(page):
         m = _TOKEN.match(page, pos)
         pos = m.end()
@@ -132,8 +135,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in SILENT and not m[3].endswith("/"):
             flush()
             # A head without an end stops at the body.
-            end = re.compile(rf"</{tag}\s*>" + ("|(?=<body[\\s>])" if tag == "head" else ""), re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>" + ("|(?=<body[\\s>])" if tag == "head" else ""), re.I).search(page, pos)
+            if end:
+                pos = end.end()
+            elif tag in RAW:
+                pos = len(page)
+            else:
+                endless.add(tag)
             continue
         if tag not in INLINE:
             flush()

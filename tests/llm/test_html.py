@@ -12,6 +12,17 @@ def texts(page):
     return [b.text for b in blocks(page)]
 
 
+@pytest.mark.parametrize("tag", ["video", "svg", "iframe", "object", "select", "noscript", "template", "head"])
+def test_unclosed_elements_keep_what_follows(tag):
+    assert texts(f"<p>a<{tag} id=x><p>b<{tag}><p>c") == ["a", "b", "c"]
+    assert texts(f"<p>a<{tag}>no</{tag}><p>b<{tag}><p>c") == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title"])
+def test_unclosed_raw_text_goes_on_to_the_end(tag):
+    assert texts(f"<p>a<{tag}><p>no") == ["a"]
+
+
 def test_blocks():
     assert texts(None) == texts("") == []
     assert texts("<p>a <b>b</b>c<br>d &amp; &eacute;&#33;\n e</p>f") == ["a bc", "d & é! e", "f"]
