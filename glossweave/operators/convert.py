@@ -13,11 +13,10 @@ from glossweave.operators.tokenize import tokenize
 from glossweave.sources.dictionaries import NOTHING
 
 # Notes that end an English text, and what is taken out of it, in order.
-PLACES = "county in.+|county of.+|county level city.+|prefecture level city.+|prefecture-level city.+|district of.+|district in.+|Lake in.+|town in.+|township in.+"
 TAGS = [("(loanword)", "Loanword"), ("(Tw)", "Taiwanese usage"), ("(Cantonese)", "Cantonese"), ("(Internet slang)", "Internet slang"), ("(derog.)", "Derogatory"), ("(bird species of China)", "Bird species of China")]
-REMOVED = '"|(accountancy)|(accounting)|(agriculture)|(anatomy)|(archaic term)|(arch.)|(archaic)|(archeology)|(archaeology)|(art)|(astrology)|(astron.)|(astronomy)|(athletics)|(biochemistry)|(biology)|(bird species of China)|(botany)|(Buddhism)|(Cantonese)|(chemistry)|(Chinese medicine)|(Christian ceremony)|(classical)|(computing)|(computer)|(coll.)|(colloquial)|(constellation)|(drug)|(dialect)|(dialectal)|(dance)|(derog.)|(economics)|(elec.)|(electrical engineering)|(electronics)|ethnic minority|(fig.)|fig.|(finance)|(geography)|(geology)|(geometry)|(grammar)|(history)|(idiom)|in Xinjiang|(interjection)|(Internet slang)|, Jilin|(law)|(language)|(linguistics)|(lit.)|lit.|(literary)|(loanword)|- Martial Art|(math.)|(math)|(medical term)|(medicine)|(military)|(molecular biology)|(music)|(mythology)|of Beijing|of Hong Kong|(old)|(old usage)|(onom.)|(philosopher)|(philosophy)|(photography)|(proverb)|(psychology)|(physics)|, Shanghai|(slang)|(sport)|(sports)|(statistics)|/ Taiwan pr.|,  Tibet|(Tw)|(zoology)'
+REMOVED = ['"', "(accountancy)", "(accounting)", "(agriculture)", "(anatomy)", "(archaic term)", "(arch.)", "(archaic)", "(archeology)", "(archaeology)", "(art)", "(astrology)", "(astron.)", "(astronomy)", "(athletics)", "(biochemistry)", "(biology)", "(bird species of China)", "(botany)", "(Buddhism)", "(Cantonese)", "(chemistry)", "(Chinese medicine)", "(Christian ceremony)", "(classical)", "(computing)", "(computer)", "(coll.)", "(colloquial)", "(constellation)", "(drug)", "(dialect)", "(dialectal)", "(dance)", "(derog.)", "(economics)", "(elec.)", "(electrical engineering)", "(electronics)", "ethnic minority", "(fig.)", "fig.", "(finance)", "(geography)", "(geology)", "(geometry)", "(grammar)", "(history)", "(idiom)", "in Xinjiang", "(interjection)", "(Internet slang)", ", Jilin", "(law)", "(language)", "(linguistics)", "(lit.)", "lit.", "(literary)", "(loanword)", "- Martial Art", "(math.)", "(math)", "(medical term)", "(medicine)", "(military)", "(molecular biology)", "(music)", "(mythology)", "of Beijing", "of Hong Kong", "(old)", "(old usage)", "(onom.)", "(philosopher)", "(philosophy)", "(photography)", "(proverb)", "(psychology)", "(physics)", ", Shanghai", "(slang)", "(sport)", "(sports)", "(statistics)", "/ Taiwan pr.", ",  Tibet", "(Tw)", "(zoology)"]
 # Patterns whose groups are moved or dropped.
-PLACE = f"(?i)^.*({PLACES})$"
+PLACE = r"(?i)^.*(county in.+|county of.+|county level city.+|prefecture level city.+|prefecture-level city.+|district of.+|district in.+|Lake in.+|town in.+|township in.+)$"
 IDIOM, LOANWORD = r"(?i)^.*\(idiom, (.*)\)", r"(?i)^.*\((loanword.*)\)"
 ABBREVIATION = r"^.*(/.?abbr. |\(abbr. |, abbr. )(.+)$"
 CLASSIFIER, ALSO = r"^.*(/ CL:.+)$", r"^.*(/.?also written|/.?see also|/.?same as)(.+)$"
@@ -90,7 +89,7 @@ def with_formatted_english(df: DataFrame, english: str = "english", out: str = "
     for part in (_group(x, PLACE), closed("(idiom, ", IDIOM), closed("(", LOANWORD), whole(ABBREVIATION), _group(x, CLASSIFIER), whole(ALSO), closed("(", UNIT), _group(x, SAID)):
         df = df.withColumn("__x", _without(x, part))
     df = df.withColumn("__x", F.coalesce(_group(x, YEAR), x))
-    removed = F.aggregate(F.array(*map(F.lit, REMOVED.split("|"))), x, lambda a, t: F.when(F.contains(a, t), strip(F.replace(a, t, F.lit("")))).otherwise(a))
+    removed = F.aggregate(F.array(*map(F.lit, REMOVED)), x, lambda a, t: F.when(F.contains(a, t), strip(F.replace(a, t, F.lit("")))).otherwise(a))
     df = df.withColumn("__x", removed)
     df = df.withColumn("__x", _without(x, _group(x, BRACKETS)))
     df = df.withColumn("__x", strip(F.array_join(F.transform(F.split("__x", "/"), strip), " / ")))

@@ -449,7 +449,7 @@ def _english_sql() -> str:
     for part in (one(convert.PLACE), f"('(idiom, ' || ({one(convert.IDIOM)}) || ')')", f"('(' || ({one(convert.LOANWORD)}) || ')')", both(convert.ABBREVIATION), one(convert.CLASSIFIER), both(convert.ALSO), f"('(' || ({one(convert.UNIT)}) || ')')", one(convert.SAID)):
         step(without(f"({part})"))
     step(f"coalesce({one(convert.YEAR)}, x)")
-    for t in convert.REMOVED.split("|"):
+    for t in convert.REMOVED:
         step(f"case when contains(x, '{t}') then trim(replace(x, '{t}', '')) else x end")
     step(without(f"({one(convert.BRACKETS)})"))
     step("trim(array_to_string(list_transform(string_split(x, '/'), lambda s: trim(s)), ' / '))")

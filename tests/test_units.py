@@ -245,9 +245,9 @@ def test_each_rule_fires(spark, table, column_of, otherwise):
     rows, expected = [], []
     for result, keywords, *_ in table:
         for f, ks in keywords.items():
-            k = ks.split("|")[0]
+            k = ks[0]
             rows.append([k if f == n else "" for n in ("english", "simplified", "traditional")])
-            first = next(r for r, words, *_ in table if any(x in rows[-1][("english", "simplified", "traditional").index(g)] for g, xs in words.items() for x in xs.split("|")))
+            first = next(r for r, words, *_ in table if any(x in rows[-1][("english", "simplified", "traditional").index(g)] for g, xs in words.items() for x in xs))
             expected.append(first)
             assert result in (first, result)
     df = spark.createDataFrame([(i, *x) for i, x in enumerate([*rows, ["", "", ""]])], "i int, english string, simplified string, traditional string")
