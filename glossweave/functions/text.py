@@ -29,10 +29,12 @@ def characters(line: Column) -> Column:
 
 
 def bigrams(line: Column) -> Column:
-    """Neighbours among the characters above U+0080, whatever ASCII stands between them."""
-    s = without_ascii(line)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
-    return F.when(F.length(s) > 1, pairs).otherwise(F.array().cast("array<string>"))
+    """Neighbours among the characters above U+0080, whatever ASCII stands between them.
+
+    The array of characters meets its own tail, in time linear in the line; the array
+    around it binds it, so it is made once.
+    """
+    return F.transform(F.array(characters(line)), lambda c: F.array_compact(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.concat(x, y))))[0]
 
 
 def kept_line(line: Column, patterns: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.functions.names import unused
 from glossweave.functions.pinyin import numbered
 from glossweave.functions.text import strip
 from glossweave.operators import dictionary, rules
@@ -82,18 +83,19 @@ def shortened(english: Column) -> Column:
 
 def with_formatted_english(df: DataFrame, english: str = "english", out: str = "formatted") -> DataFrame:
     """Adds the bare meaning.  Each step is a column of its own, as later steps read earlier results."""
-    x = F.col("__x")
-    df = df.withColumn("__x", F.when(F.contains(english, F.lit("; ")), F.replace(F.col(english), F.lit(";"), F.lit("/"))).otherwise(F.col(english)))
+    (name,) = unused(df, "__x")
+    x = F.col(name)
+    df = df.withColumn(name, F.when(F.contains(english, F.lit("; ")), F.replace(F.col(english), F.lit(";"), F.lit("/"))).otherwise(F.col(english)))
     closed = lambda head, pattern: F.concat(F.lit(head), _group(x, pattern), F.lit(")"))
     whole = lambda pattern: F.concat(_group(x, pattern, 1), _group(x, pattern, 2))
     for part in (_group(x, PLACE), closed("(idiom, ", IDIOM), closed("(", LOANWORD), whole(ABBREVIATION), _group(x, CLASSIFIER), whole(ALSO), closed("(", UNIT), _group(x, SAID)):
-        df = df.withColumn("__x", _without(x, part))
-    df = df.withColumn("__x", F.coalesce(_group(x, YEAR), x))
+        df = df.withColumn(name, _without(x, part))
+    df = df.withColumn(name, F.coalesce(_group(x, YEAR), x))
     removed = F.aggregate(F.array(*map(F.lit, REMOVED)), x, lambda a, t: F.when(F.contains(a, t), strip(F.replace(a, t, F.lit("")))).otherwise(a))
-    df = df.withColumn("__x", removed)
-    df = df.withColumn("__x", _without(x, _group(x, BRACKETS)))
-    df = df.withColumn("__x", strip(F.array_join(F.transform(F.split("__x", "/"), strip), " / ")))
-    return df.withColumn(out, F.when(F.length(x) > 100, shortened(x)).otherwise(x)).drop("__x")
+    df = df.withColumn(name, removed)
+    df = df.withColumn(name, _without(x, _group(x, BRACKETS)))
+    df = df.withColumn(name, strip(F.array_join(F.transform(F.split(x, "/"), strip), " / ")))
+    return df.withColumn(out, F.when(F.length(x) > 100, shortened(x)).otherwise(x)).drop(name)
 
 
 def with_formatted_pinyin(df: DataFrame, ours: DataFrame, out: str = "sound") -> DataFrame:
@@ -121,11 +123,9 @@ def candidates(missing: DataFrame, ours: DataFrame, n: int = 10) -> DataFrame:
 
 def numbered_pinyin(df: DataFrame, ours: DataFrame, text: str = "simplified", last_letter_only: bool = False) -> DataFrame:
     """Adds ``numbered``: syllables of the characters that are known, with numbers, apart."""
-    one = df.select(F.col(text).alias("t")).where("t is not null").distinct()
-    chars = one.select("t", F.posexplode(F.array_remove(F.split("t", ""), "")).alias("i", "c"))
-    known = dictionary.rolled_up(ours.where(F.length("key") == 1)).select(F.col("key").alias("c"), numbered(F.col("pinyin"), last_letter_only).alias("p"))
-    rows = chars.join(known, "c").groupBy("t").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]), " ").alias("numbered"))
-    return df.join(rows, df[text] == rows["t"], "left").drop("t").withColumn("numbered", F.coalesce("numbered", F.lit("")))
+    known = dictionary.characters_known(dictionary.rolled_up(ours), numbered(F.col("pinyin"), last_letter_only))
+    told = dictionary._converted(df, text, known, lambda t, k: " ".join(k[c] for c in t if k.get(c) is not None), "string")
+    return df.withColumn("numbered", F.coalesce(told, F.lit("")))
 
 
 def cedict_lines(ours: DataFrame, last_letter_only: bool = False) -> DataFrame:

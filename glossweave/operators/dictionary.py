@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.functions.names import unused
 from glossweave.sources.dictionaries import NOTHING
 
 
@@ -57,33 +59,44 @@ def lookup(entry: DataFrame, keyword: str) -> DataFrame:
     return entry.where(F.col("key") == keyword)
 
 
-def _by_character(df: DataFrame, text: str, entry: DataFrame, value: Column, fallback: Column) -> DataFrame:
-    """(t, converted array): each character of the distinct texts through a left join, in order again."""
-    one = df.select(F.col(text).alias("t")).where("t is not null").distinct()
-    chars = one.select("t", F.posexplode(F.array_remove(F.split("t", ""), "")).alias("i", "c"))
-    known = entry.where(F.length("key") == 1).select(F.col("key").alias("c"), "senses")
-    met = chars.join(known, "c", "left").withColumn("v", F.coalesce(value, fallback))
-    return met.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
+def characters_known(entry: DataFrame, value: Column) -> dict[str, object]:
+    """character: value, of the keys of one character.  There are no more of them than Unicode has code points."""
+    rows = entry.where(F.length("key") == 1).select("key", value.alias("v")).collect()
+    return {r.key: r.v for r in rows}
+
+
+def _converted(df: DataFrame, text: str, known: dict, convert, kind: str) -> Column:
+    """A column of convert(text, known), over Arrow batches; nothing is shuffled."""
+    held = df.sparkSession.sparkContext.broadcast(known)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else convert(t, held.value))
+
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)(F.col(text))
 
 
 def to_traditional(df: DataFrame, entry: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``converted``: first senses' traditional forms, the simplified where there is none, unknown characters as they are."""
     first = F.col("senses")[0]
     value = F.when(first["traditional"] == NOTHING, first["simplified"]).otherwise(first["traditional"])
-    done = _by_character(df, text, entry, value, F.col("c")).select("t", F.array_join("v", "").alias("converted"))
-    return df.join(done, df[text] == done["t"], "left").drop("t").withColumn("converted", F.coalesce("converted", F.col(text)))
+    known = {c: v for c, v in characters_known(entry, value).items() if v is not None}
+    return df.withColumn("converted", _converted(df, text, known, lambda t, k: "".join(k.get(c, c) for c in t), "string"))
+
+
+def _sounds(text: str, known: dict) -> list[str]:
+    """Simplified form and pinyin."""
+    found = [known.get(c, (c, " ")) for c in text]
+    return ["".join(c if s is None else s for c, (s, _) in zip(text, found, strict=True)), (" " if len(found) > 3 else "").join(p or "" for _, p in found).lower()]
 
 
 def to_simplified(df: DataFrame, entry: DataFrame, text: str = "text") -> DataFrame:
     """Adds simplified, traditional ("\\N" if nothing changed) and pinyin, lower case, apart if there are more than three."""
     first = F.col("senses")[0]
-    value = F.struct(first["simplified"].alias("s"), first["pinyin"].alias("p"))
-    done = _by_character(df, text, entry, F.when(F.col("senses").isNotNull(), value), F.struct(F.col("c").alias("s"), F.lit(" ").alias("p")))
-    s, p = F.transform("v", lambda x: x["s"]), F.transform("v", lambda x: F.coalesce(x["p"], F.lit("")))
-    sound = F.lower(F.when(F.size(p) > 3, F.array_join(p, " ")).otherwise(F.array_join(p, "")))
-    done = done.select("t", F.array_join(s, "").alias("simplified"), sound.alias("pinyin"))
-    out = df.join(done, df[text] == done["t"], "left").drop("t").withColumn("simplified", F.coalesce("simplified", F.col(text)))
-    return out.withColumns({"traditional": F.when(F.col("simplified") == F.col(text), NOTHING).otherwise(F.col(text)), "pinyin": F.coalesce("pinyin", F.lit(""))})
+    known = {c: tuple(v) for c, v in characters_known(entry, F.struct(first["simplified"], first["pinyin"])).items()}
+    (both,) = unused(df, "both")
+    out = df.withColumn(both, _converted(df, text, known, _sounds, "array<string>"))
+    one = F.col(both)[0]
+    return out.withColumns({"simplified": one, "traditional": F.when(one == F.col(text), NOTHING).otherwise(F.col(text)), "pinyin": F.coalesce(F.col(both)[1], F.lit(""))}).drop(both)
 
 
 def assembled(parts: DataFrame, entry_lines: DataFrame, english: str, grammar: str, references: str = "") -> DataFrame:

@@ -43,6 +43,11 @@ def training_rows(terms: DataFrame, information: DataFrame) -> tuple[DataFrame,
     return rows, two.join(information, "term", "left_anti").select("term")
 
 
+def errors(rows: DataFrame, result: str = "result") -> DataFrame:
+    """The rows of terms that were told wrongly."""
+    return rows.where(F.col(result) == 0)
+
+
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n)."""
     return predictions.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(F.count("*").alias("n"))

@@ -7,9 +7,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.functions.names import unused
+from glossweave.sources.tables import checkpoint_dir
+
+#: Transitions, and accepting states, of a machine that is sent to executors.
+SENT_EDGES = 1_000_000
 NODE, EDGE = "id long, accepting boolean", "src long, symbol string, dst long"
 
 
@@ -39,6 +45,19 @@ class Machine:
     def alphabet(self) -> set[str]:
         return {x for _, x, _ in self.edges}
 
+    def start(self) -> int:
+        return 0
+
+    def states(self) -> set[int]:
+        return set(range(len(self.accepting)))
+
+    def accepting_states(self) -> set[int]:
+        return {i for i, a in enumerate(self.accepting) if a}
+
+    def transitions(self) -> dict[tuple[int, str], set[int]]:
+        """(state, symbol): the states it leads to."""
+        return {(s, x): self.transition(s, x) for s, x, _ in self.edges}
+
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         return spark.createDataFrame(list(enumerate(self.accepting)), NODE), spark.createDataFrame(sorted(self.edges), EDGE)
 
@@ -52,19 +71,56 @@ def transitions(edges: DataFrame, states: DataFrame) -> DataFrame:
     return states.join(edges, ["src", "symbol"])
 
 
+def walk(accepting: frozenset, steps: dict, word: str) -> bool:
+    """Does the machine accept the word?  One pass with the set of states it may be in."""
+    states = {0}
+    for symbol in word:
+        states = {d for s in states for d in steps.get((s, symbol), ())}
+        if not states:
+            return False
+    return not states.isdisjoint(accepting)
+
+
 def recognizes(nodes: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``recognized`` to words (word): a recursive query walks all words at once, one symbol a step."""
+    """Adds ``recognized`` to words (word), in place of a column of that name; null for a null word.
+
+    The machine goes to every executor, as one of at most SENT_EDGES transitions and
+    accepting states does; each word is walked once.  A larger machine walks all words
+    together, a join a symbol, with equal states of a word joined into one.
+    """
+    if edges.limit(SENT_EDGES + 1).count() > SENT_EDGES or accepting_states(nodes).limit(SENT_EDGES + 1).count() > SENT_EDGES:
+        return _joined(nodes, edges, words)
+    steps: dict[tuple[int, str], list[int]] = {}
+    for e in edges.distinct().collect():
+        steps.setdefault((e.src, e.symbol), []).append(e.dst)
+    held = words.sparkSession.sparkContext.broadcast((frozenset(r.id for r in accepting_states(nodes).collect()), steps))
+
+    def run(some: pd.Series) -> pd.Series:
+        return some.map(lambda w: None if w is None else walk(*held.value, w))
+
+    return words.withColumn("recognized", F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR)(F.col("word")))
+
+
+def _joined(nodes: DataFrame, edges: DataFrame, words: DataFrame, cut: int = 8) -> DataFrame:
+    """recognizes() by joins; the lineage is cut every ``cut`` symbols."""
     spark = words.sparkSession
-    for name, df in (("__fsm_nodes", nodes), ("__fsm_edges", edges), ("__fsm_words", words.select("word").where("word is not null").distinct())):
-        df.createOrReplaceTempView(name)
-    ends = spark.sql("""
-        with recursive walk(word, state, at) as (
-            select word, 0L, 1 from __fsm_words
-            union all
-            select w.word, e.dst, w.at + 1 from walk w join __fsm_edges e on e.src = w.state and e.symbol = substring(w.word, w.at, 1) where w.at <= length(w.word)
-        )
-        select distinct word from walk join __fsm_nodes n on n.id = state and n.accepting where at = length(word) + 1""")
-    return words.join(ends.withColumn("__hit", F.lit(True)), "word", "left").withColumn("recognized", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    if cut and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    one = words.select("word").where("word is not null").distinct()
+    longest = one.agg(F.max(F.length("word"))).first()[0] or 0
+    ends = accepting_states(nodes).withColumnRenamed("id", "state")
+    front = one.withColumn("state", F.lit(0).cast("long"))
+    found = front.where("word = ''").join(ends, "state", "left_semi").select("word")
+    for i in range(1, longest + 1):
+        moved = front.where(F.length("word") >= i).select("word", F.col("state").alias("src"), F.substring("word", i, 1).alias("symbol"))
+        front = moved.join(edges, ["src", "symbol"]).select("word", F.col("dst").alias("state")).distinct()
+        found = found.unionByName(front.where(F.length("word") == i).join(ends, "state", "left_semi").select("word"))
+        if i % cut == 0:
+            front, found = front.checkpoint(), found.checkpoint()
+    (hit,) = unused(words, "hit")
+    out = words.join(found.distinct().withColumn(hit, F.lit(True)), "word", "left")
+    told = F.when(F.col("word").isNotNull(), F.coalesce(F.col(hit), F.lit(False)))
+    return out.select(*(F.col(f"`{c}`") for c in words.columns if c.lower() != "recognized"), told.alias("recognized"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -80,9 +136,10 @@ def trie_edges(nodes: DataFrame) -> DataFrame:
 
 
 def accepts(nodes: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``recognized``: in a trie a word is its own path."""
-    ends = nodes.where("accepting").select(F.col("prefix").alias("word"), F.lit(True).alias("__hit"))
-    return words.join(ends, "word", "left").withColumn("recognized", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    """Adds ``recognized``, in place of a column of that name: in a trie a word is its own path."""
+    (hit,) = unused(words, "hit")
+    ends = nodes.where("accepting").select(F.col("prefix").alias("word"), F.lit(True).alias(hit))
+    return words.join(ends, "word", "left").withColumn("recognized", F.coalesce(F.col(hit), F.lit(False))).drop(hit)
 
 
 def with_prefix(words: DataFrame, prefix: str) -> DataFrame:

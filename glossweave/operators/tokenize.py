@@ -1,7 +1,10 @@
 """Greedy longest-match tokens: from each place the longest dictionary word, else one character.
 
-Three ways give the same tokens; ``tokenize`` chooses by the size of the dictionary.
-Tokens joined give the input.
+Three ways give the same tokens: a pattern inside Spark's own expressions for short
+lists of words, Arrow batches with the dictionary sent to each executor for real
+dictionaries, and a join for dictionaries that are too large to send.  ``tokenize``
+chooses by the counted size of the dictionary, whatever the texts.  Tokens joined
+give the input.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many words a pattern is faster than a join.
-PATTERN_WORDS = 2_000
+from glossweave.functions.names import unused
+
+#: Up to so many words a pattern is faster, and up to so many words of so many characters in all a dictionary is sent to executors.
+PATTERN_WORDS, SENT_WORDS, SENT_CHARACTERS = 2_000, 2_000_000, 16_000_000
 _NONE = "array<string>"
 
 
@@ -28,17 +33,19 @@ def tokens_by_pattern(text: Column, words: list[str]) -> Column:
 def tokens_by_join(df: DataFrame, words: DataFrame, text: str = "text", exclude_whole: bool = False) -> DataFrame:
     """Adds ``tokens``: pieces of each text meet the dictionary (word) in a semi-join, then a fold walks the text.
 
-    exclude_whole: a text is no word of itself.  Texts are tokenized once each.
+    exclude_whole: a text is no word of itself.  Texts are tokenized once each; a piece
+    travels with the 128-bit digest of its text, never with the text.
     """
     longest = words.agg(F.max(F.length("word"))).first()[0] or 1
-    one = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
-    at = one.select("t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))
-    size = F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.length("t") - F.col("i") + 1), F.lit(1))))
-    pieces = at.select("t", "i", size.alias("n")).select("t", "i", "n", F.substring("t", F.col("i"), F.col("n")).alias("word")).where("word <> ''")
+    digest = F.unhex(F.md5("t")).alias("h")
+    one = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select("t", digest).dropDuplicates(["h"])
+    at = one.select("h", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))
+    pieces = at.select("h", "i", F.length("t").alias("all"), F.expr(f"substring(t, i, {longest})").alias("head")).select("h", "i", "all", "head", F.explode(F.sequence(F.lit(1), F.greatest(F.length("head"), F.lit(1)))).alias("n"))
+    pieces = pieces.select("h", "i", "n", "all", F.expr("substring(head, 1, n)").alias("word")).where("word <> ''")
     if exclude_whole:
-        pieces = pieces.where("word <> t")
-    found = pieces.join(words.select("word").distinct(), "word", "left_semi").groupBy("t", "i").agg(F.max("n").alias("n"))
-    longest_at = found.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
+        pieces = pieces.where("n < all")
+    found = pieces.join(words.select("word").distinct(), "word", "left_semi").groupBy("h", "i").agg(F.max("n").alias("n"))
+    longest_at = found.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
 
     def step(acc: Column, i: Column) -> Column:
         n = F.coalesce(F.try_element_at("m", i), F.lit(1))
@@ -47,37 +54,60 @@ def tokens_by_join(df: DataFrame, words: DataFrame, text: str = "text", exclude_
 
     zero = F.struct(F.lit(1).alias("next"), F.array().cast(_NONE).alias("out"))
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), zero, step, lambda a: a["out"])
-    done = one.join(longest_at, "t", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,int>")))
-    done = done.select("t", F.when(F.col("t") == "", F.array().cast(_NONE)).otherwise(walked).alias("tokens"))
-    return df.withColumn("t", F.coalesce(F.col(text), F.lit(""))).join(done, "t").drop("t")
+    done = one.join(longest_at, "h", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,int>")))
+    h, tokens = unused(df, "h", "tokens")
+    done = done.select(F.col("h").alias(h), F.when(F.col("t") == "", F.array().cast(_NONE)).otherwise(walked).alias(tokens))
+    out = df.withColumn(h, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(done, h)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != "tokens"), F.col(tokens).alias("tokens"))
+
 
+def sizes(words: frozenset[str]) -> dict[str, list[int]]:
+    """For each first character the lengths of its words, longest first."""
+    out: dict[str, set[int]] = {}
+    for w in words:
+        out.setdefault(w[0], set()).add(len(w))
+    return {c: sorted(n, reverse=True) for c, n in out.items()}
 
-def greedy(words: frozenset[str], longest: int, text: str, exclude_whole: bool = False) -> list[str]:
+
+def greedy(words: frozenset[str], lengths: dict[str, list[int]], text: str, exclude_whole: bool = False) -> list[str]:
     out, i = [], 0
     while i < len(text):
-        n = min(longest, len(text) - i)
-        while n > 1 and not (text[i : i + n] in words and not (exclude_whole and n == len(text))):
-            n -= 1
+        for n in lengths.get(text[i], ()):
+            if text[i : i + n] in words and i + n <= len(text) and not (exclude_whole and n == len(text)):
+                break
+        else:
+            n = 1
         out.append(text[i : i + n])
         i += n
     return out
 
 
-def tokens_by_arrow(text: Column, words: list[str], exclude_whole: bool = False) -> Column:
-    """In Python over Arrow batches, with the dictionary sent once to each worker."""
-    held = frozenset(w for w in words if w)
-    longest = max(map(len, held), default=1)
+def tokens_by_arrow(text: Column, words, exclude_whole: bool = False) -> Column:
+    """In Python over Arrow batches; words: what Spark broadcast, or a list of words."""
+    held = words if hasattr(words, "value") else None
+    given = None if held else _prepared(words)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, lengths = held.value if held else given
         for texts in batches:
-            yield texts.map(lambda t: greedy(held, longest, t or "", exclude_whole))
+            yield texts.map(lambda t: greedy(known, lengths, t or "", exclude_whole))
 
     return F.pandas_udf(run, _NONE, F.PandasUDFType.SCALAR_ITER)(text)
 
 
+def _prepared(words) -> tuple[frozenset[str], dict[str, list[int]]]:
+    held = frozenset(w for w in words if w)
+    return held, sizes(held)
+
+
 def tokenize(df: DataFrame, words: DataFrame, text: str = "text", exclude_whole: bool = False) -> DataFrame:
-    """Adds ``tokens``.  A null text has none."""
-    some = [r.word for r in words.select("word").distinct().limit(PATTERN_WORDS + 1).collect()]
-    if exclude_whole or len(some) > PATTERN_WORDS:
+    """Adds ``tokens``, in place of a column of that name.  A null text has none."""
+    one = words.select("word").where("word <> ''").distinct()
+    n, characters = one.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if n > SENT_WORDS or characters > SENT_CHARACTERS:
         return tokens_by_join(df, words, text, exclude_whole)
-    return df.withColumn("tokens", tokens_by_pattern(F.coalesce(F.col(text), F.lit("")), some))
+    known = [r.word for r in one.collect()]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    if not exclude_whole and n <= PATTERN_WORDS:
+        return df.withColumn("tokens", tokens_by_pattern(whole, known))
+    return df.withColumn("tokens", tokens_by_arrow(whole, df.sparkSession.sparkContext.broadcast(_prepared(known)), exclude_whole))

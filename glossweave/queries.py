@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import distance, scores, text
 from glossweave.functions.pinyin import MARKED, PLAIN, TONES, numbered
 from glossweave.operators import colloc, convert, counts, dictionary, evaluate, learn, prefix, ranking, rules, similarity, tokenize
-from glossweave.sources import corpus, logs
+from glossweave.sources import corpus, dictionaries, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,21 +106,23 @@ def mutual_info(spark, d):
     return colloc.mutual_information(counts.character_counts(k), pairs, pairs.select(F.col("bigram").alias("term"))).select("term", F.round("mi", 9).alias("mi"))
 
 
-@query("select p_size, round(4.0 * p_size / 100, 9) as t, round(p_size * 3.0, 9) as s from part where false union all select p_size, round((p_size / 1000.0 - p_size / 500.0 * (p_size / 400.0)) / sqrt(p_size / 1000.0 / 1000.0), 9), round(1 / (1 + exp(-(0.5 + 0.1 * p_size))), 9) from (select distinct p_size from part)")
+@query("""select p_size, round((p_size / 1000.0 - p_size / 500.0 * (p_size / 400.0)) / sqrt(p_size / 1000.0 / 1000.0), 9) as t, round(1 / (1 + exp(-(0.5 + 0.1 * p_size))), 9) as s, 2.0 * p_size - 1.5 as line,
+round((32 + p_size) * pow(p_size * 20.0 - 5 * 7, 2) / ((p_size + 5.0) * (p_size + 7) * (5 + 20.0) * (7 + 20)), 9) as chi from (select distinct p_size from part)""")
 def association_scores(spark, d):
     p = table(spark, d, "part").select("p_size").distinct()
-    n, x = F.col("p_size"), F.col("p_size").cast("double")
-    t = scores.t_value(x, F.lit(1000.0), x / 500, x / 400, F.lit(1.0))
-    return p.select("p_size", F.round(t, 9).alias("t"), F.round(scores.sigmoid(n, 0.5, 0.1), 9).alias("s"))
+    n, x, lit = F.col("p_size"), F.col("p_size").cast("double"), lambda v: F.lit(float(v))
+    t = scores.t_value(x, lit(1000), x / 500, x / 400, lit(1))
+    chi = scores.chi_square(x, lit(5), lit(7), lit(20))
+    return p.select("p_size", F.round(t, 9).alias("t"), F.round(scores.sigmoid(n, 0.5, 0.1), 9).alias("s"), scores.linear([x, lit(1.5)], [2.0, -1.0]).alias("line"), F.round(chi, 9).alias("chi"))
 
 
-@query("select role as term, arg_max(turn % 2, conv_id * 1000 + turn) as result from conversations group by role")
+@query("select '在' || role as term, arg_max(turn % 2, conv_id * 1000 + turn) as result from conversations group by role")
 def last_label_wins(spark, d):
-    c = table(spark, d, "conversations").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
-    return c.groupBy(F.col("role").alias("term")).agg(F.max_by(F.col("turn") % 2, "at").alias("result"))
-
-
-_NOTED = "'Error: ' || role || ' (' || case when turn % 3 = 0 then 'false negative' else 'false positive' end || ')'"
+    """Odd turns give a term as a token, even ones as a false positive."""
+    term = F.concat(F.lit("在"), "role")
+    line = F.when(F.col("turn") % 2 == 1, term).otherwise(F.concat(F.lit("Error: "), term, F.lit(" (false positive)")))
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), line.alias("line"))
+    return evaluate.labelled_terms(c).select("term", "result")
 
 
 def _annotated(spark, d) -> DataFrame:
@@ -143,18 +145,11 @@ def labelled_terms(spark, d):
     return evaluate.labelled_terms(_annotated(spark, d)).select("term", "result")
 
 
-@query(f"with {_LINES}, {_PAIRS} select bigram as term, round(count(*) / 7, 6) as mi, cast(bigram in ('éé') as int) * 0 as has_function_word, 1 as result from pairs where bigram like 'é%' group by bigram")
-def training_rows(spark, d):
-    pairs = counts.bigram_counts(lines(spark, d)).select(F.col("bigram").alias("term"), F.round(F.col("n") / 7, 6).alias("mi"))
-    terms = pairs.where("term like 'é%'").select("term", F.lit(1).alias("result"), F.lit(0).alias("ord"))
-    return evaluate.training_rows(terms, pairs)[0].drop("ord")
-
-
 @query(f"""with {_LINES}, {_CHARS}, c as (select character, count(*) as n from chars where character <> '' group by all), {_PAIRS}, b as (select bigram, count(*) as n from pairs group by all),
 t as (select bigram as term, substring(bigram, 1, 1) as x, substring(bigram, 2, 1) as y from b)
 select term, round(log2(((coalesce(f.n, 0) + case when term <> y || x then coalesce(r.n, 0) else 0 end) / (select sum(n) from b)) / (cx.n / (select sum(n) from c) * (cy.n / (select sum(n) from c)))), 9) as mi, cast(regexp_matches(term, '[有不無下上為後]') as int) as has_function_word, cast(f.n % 3 <> 0 as int) as result
 from t join c cx on cx.character = x join c cy on cy.character = y left join b f on f.bigram = term left join b r on r.bigram = y || x""")
-def training_rows_all(spark, d):
+def training_rows(spark, d):
     """Rows of all pairs of the documents, with their mutual information; labels of both kinds."""
     k = lines(spark, d)
     pairs = counts.bigram_counts(k)
@@ -191,12 +186,20 @@ def strip_punctuation(spark, d):
     return lines(spark, d).groupBy(text.without_punctuation(F.col("line")).alias("stripped"), text.has_function_word(F.col("line")).alias("has_function_word")).agg(F.count("*").alias("n"))
 
 
-@query("select conv_id, turn, 3 as tokens from conversations where turn % 4 <> 3")
+@query("""with a as (select conv_id, turn, '在、' || role || '、、河。、' as line from conversations where turn % 4 <> 3)
+select conv_id, turn, cast(len(list_filter(string_split(line, '、'), lambda t: trim(t) <> '')) as int) as tokens from a""")
 def token_split(spark, d):
     a = _annotated(spark, d).where(text.annotation_line(F.col("line")))
     return a.select((F.col("ord") / 1000).cast("long").alias("conv_id"), (F.col("ord") % 1000).alias("turn"), F.size(text.annotated_tokens(F.col("line"))).alias("tokens"))
 
 
+@query("select count(*) as n from conversations where turn % 4 = 3 and turn % 3 <> 0 having count(*) >= 0")
+def error_slice(spark, d):
+    """Lines of false positives, by the slice of rows told wrongly."""
+    a = _annotated(spark, d).withColumn("result", F.contains("line", F.lit("false positive")).cast("int") * -1 + 1)
+    return evaluate.errors(a).agg(F.count("*").alias("n"))
+
+
 def part_lines(spark, d) -> DataFrame:
     """Parts as dictionary lines."""
     p = table(spark, d, "part")
@@ -234,16 +237,39 @@ def dict_lookup(spark, d):
     return dictionary.rolled_up(dictionary.lookup(part_entries(spark, d), WORD)).select("key", "english")
 
 
-@query("select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 40)")
+_THEIRS = "theirs as (select p_brand || ' ' || p_size as key, count(*) as n from part group by 1)"
+
+
+def _theirs(spark, d) -> DataFrame:
+    """Parts as entries of another dictionary."""
+    p = table(spark, d, "part")
+    return convert.entries(p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("simplified"), F.concat_ws(" ", "p_brand", "p_size").alias("traditional"), F.lit("x").alias("pinyin"), F.col("p_type").alias("english")))
+
+
+@query(f"with {_THEIRS} select key, cast(n as int) as n_senses from theirs where key not in (select distinct p_brand || ' ' || p_size from part where p_size % 3 = 0)")
 def dict_antijoin(spark, d):
-    ours = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(ours, "p_partkey", "left_anti").select("p_partkey")
+    """Entries of another dictionary that ours, of some sizes only, doesn't have."""
+    ours = _theirs(spark, d).where(F.split("key", " ")[1].cast("int") % 3 == 0)
+    return convert.absent(_theirs(spark, d), ours).select("key", "n_senses")
 
 
-@query("select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 40)")
+@query("""with words as (select string_agg(word, '|' order by length(word) desc, word) || '|(?s:.)' as p from (select distinct unnest(string_split(p_name, ' ')) as word from part))
+select p_partkey, array_to_string(regexp_extract_all(p_name, p), '/') as tokens from part, words""")
 def dict_semijoin(spark, d):
-    ours = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(ours, "p_partkey", "left_semi").select("p_partkey")
+    """Tokens by the semi-join of pieces with the words, the way of dictionaries too large to send."""
+    out = tokenize.tokens_by_join(table(spark, d, "part"), _words(spark, d), "p_name")
+    return out.select("p_partkey", F.array_join("tokens", "/").alias("tokens"))
+
+
+@query("""with words as (select string_agg(word, '|' order by length(word) desc, word) || '|(?s:.)' as p from (select distinct cast(o_orderkey as varchar) as word from orders)),
+t as (select p_partkey, p_partkey || '-' || p_partkey * 37 || p_size as x from part)
+select p_partkey, array_to_string(regexp_extract_all(x, p), '/') as tokens from t, words""")
+def tokenize_dictionary(spark, d):
+    """A dictionary of as many words as there are orders."""
+    words = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("word"))
+    x = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), (F.col("p_partkey") * 37).cast("string"), F.col("p_size").cast("string"))
+    out = tokenize.tokenize(table(spark, d, "part").select("p_partkey", x.alias("x")), words, "x")
+    return out.select("p_partkey", F.array_join("tokens", "/").alias("tokens"))
 
 
 @query("select p_name as key, max(p_partkey) as last from part group by p_name")
@@ -293,11 +319,41 @@ def numeric_pinyin(spark, d):
     return table(spark, d, "part").select(numbered(x).alias("numbered"), x.alias("syllable")).distinct()
 
 
-@query("""select p_partkey, case when t is not null then t else s end as first from part left join (select p_brand as b, min(p_partkey) as t from part group by 1) on b = p_name left join (select p_name as n, min(p_partkey) as s from part group by 1) on n = p_name""")
+@query("""with lines as (select p_partkey as o, p_name as s, case when p_size % 2 = 0 then '\\N' else p_brand end as t, translate(p_name, 'aeiou', 'āéǐòu') as p from part),
+parts as (select * from (values (0, 'red bolt'), (1, 'Brand#11'), (2, 'Brand#12')) as v(i, part)),
+byt as (select t as part, min(o) as o from lines group by 1), bys as (select s as part, min(o) as o from lines group by 1),
+met as (select i, part, byt.o is not null as as_t, coalesce(byt.o, bys.o) as o from parts left join byt using (part) left join bys using (part)),
+v as (select i, met.o is not null as found, coalesce(s, '') as s, coalesce(case when as_t then t else s end, '') as t, replace(coalesce(p, ''), ' ', '') as p from met left join lines on lines.o = met.o)
+select (select count(*) + 2 from part) as id, string_agg(s, '' order by i) as simplified, case when string_agg(s, '' order by i) = string_agg(t, '' order by i) then '\\N' else string_agg(t, '' order by i) end as traditional, string_agg(p, '' order by i) as pinyin, bool_and(found) as found from v""")
 def find_or_fallback(spark, d):
-    p = table(spark, d, "part")
-    t, s = p.groupBy(F.col("p_brand").alias("p_name")).agg(F.min("p_partkey").alias("t")), p.groupBy("p_name").agg(F.min("p_partkey").alias("s"))
-    return p.join(t, "p_name", "left").join(s, "p_name", "left").select("p_partkey", F.coalesce("t", "s").alias("first"))
+    """A new entry: each part by its traditional form, else by its simplified one."""
+    parts = spark.createDataFrame([(0, "red bolt"), (1, "Brand#11"), (2, "Brand#12")], "ord int, part string")
+    return dictionary.assembled(parts, part_lines(spark, d), "made", "noun").select("id", "simplified", "traditional", "pinyin", "found")
+
+
+@query("""select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: translate(w, 'aeiou', 'āéǐòu')), ' ') as sound from part""")
+def pinyin_reformat(spark, d):
+    """Sounds of texts by the words they are made of."""
+    none, w = F.lit(None).cast("string"), _words(spark, d)
+    rows = w.select(F.xxhash64("word").alias("ord"), F.lit(0).alias("file"), F.lit(0).alias("id"), F.col("word").alias("simplified"), F.lit("\\N").alias("traditional"), F.translate("word", "aeiou", "āéǐòu").alias("pinyin"), none.alias("english"), none.alias("grammar"), none.alias("notes"), F.lit(0).alias("headword"))
+    texts = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("·")).alias("simplified"))
+    return convert.with_formatted_pinyin(texts, dictionary.entries(rows)).select("p_partkey", "sound")
+
+
+@query("""with l as (select p_partkey as ord, case when p_size % 10 = 0 then 'bad ' || p_name else p_brand || ' ' || p_name || ' [' || p_size || '] /' || p_type || '/' end as line from part)
+select ord, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 1) as traditional, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 2) as simplified, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 3) as pinyin, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 4) as english
+from l where regexp_matches(line, '(.*) (.*) \\[(.*)\\] /(.*)/')""")
+def cedict_parse(spark, d):
+    """Parts as lines of the other format, some of which do not parse."""
+    good = F.concat("p_brand", F.lit(" "), "p_name", F.lit(" ["), "p_size", F.lit("] /"), "p_type", F.lit("/"))
+    line = F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("bad "), "p_name")).otherwise(good)
+    return dictionaries.parsed_cedict(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), line.alias("line")))[0]
+
+
+@query("""select p_partkey, array_to_string(list_filter(list_transform(string_split(p_name, ''), lambda c: case c when 'e' then 'ē' when 'a' then 'a1' when 'n' then 'ne3' when 'o' then 'o' end), lambda x: x is not null), ' ') as numbered from part""")
+def numbered_characters(spark, d):
+    """Numbered sounds of the characters that are known."""
+    return convert.numbered_pinyin(table(spark, d, "part"), _letters(spark), "p_name").select("p_partkey", F.lower("numbered").alias("numbered"))
 
 
 def _names(spark, d) -> DataFrame:
@@ -367,14 +423,8 @@ dl as (select document, cast(sum(frequency) as bigint) as doc_len from tf group
 wf as (select word, frequency, collection, document, log10(((select count(*) from dl) + 1) / df) as idf, doc_len from tf join dl using (document) join df using (word))"""
 
 
-@query(f"with {_FREQ} select word, frequency, collection, document, round(idf, 9) as idf, doc_len from wf where document like '%7'")
-def word_freq_doc(spark, d):
-    return _frequencies(spark, d).where("document like '%7'").withColumn("idf", F.round("idf", 9))
-
-
 @query(f"with {_FREQ} select word, frequency, collection, document, round(idf, 9) as idf, doc_len from wf")
-def word_freq_doc_all(spark, d):
-    """word_freq_doc of all documents."""
+def word_freq_doc(spark, d):
     return _frequencies(spark, d).withColumn("idf", F.round("idf", 9))
 
 
@@ -432,9 +482,9 @@ def _group_sql(x: str, pattern: str, n: int = 1) -> str:
     return f"case when regexp_matches({x}, '{p}') then regexp_extract({x}, '{p}', {n}) end"
 
 
-def _english_sql() -> str:
-    """The steps of convert.with_formatted_english, each a query over the one before."""
-    out, at = [f"{_TEXTS_SQL}, x0 as (select p_partkey, case when contains(english, '; ') then replace(english, ';', '/') else english end as x from entries)"], 0
+def _english_sql(entries: str) -> str:
+    """The steps of convert.with_formatted_english, each a query over the one before, up to xs (p_partkey, formatted)."""
+    out, at = [f"{entries}, x0 as (select p_partkey, case when contains(english, '; ') then replace(english, ';', '/') else english end as x from entries)"], 0
 
     def step(sql: str) -> None:
         nonlocal at
@@ -454,20 +504,54 @@ def _english_sql() -> str:
     step(without(f"({one(convert.BRACKETS)})"))
     step("trim(array_to_string(list_transform(string_split(x, '/'), lambda s: trim(s)), ' / '))")
     step("case when length(x) > 100 and contains(x, ' / ') then array_to_string(string_split(x, ' / ')[1 : len(string_split(x, ' / ')) - 1], ' / ') else x end")
-    return f"with {', '.join(out)} select p_partkey, x as formatted from x{at}"
+    return f"with {', '.join(out)}, xs as (select p_partkey, x as formatted from x{at})"
 
 
-@query(_english_sql())
+@query(_english_sql(_TEXTS_SQL) + " select p_partkey, formatted from xs")
 def english_reformat(spark, d):
     return convert.with_formatted_english(_english(spark, d)).select("p_partkey", "formatted")
 
 
-@query()
+def _notes_sql() -> str:
+    """convert.formatted_notes over x (english, traditional)."""
+    g = lambda p, n=1: _group_sql("english", p, n)
+    raised = lambda e: f"upper(substring({e}, 1, 1)) || substring({e}, 2)"
+    after, year = g(convert.YEAR, 3), g(convert.YEAR, 2)
+    also = f"trim(substring({g(convert.ALSO, 1)}, 2) || {g(convert.ALSO, 2)})"
+    rest = f"case when starts_with({after}, ',') then trim(substring({after}, 2)) else {after} end"
+    notes = [raised(f"({g(convert.PLACE)})"), f"replace({raised(f'({g(convert.IDIOM)})')}, '\"', '')", raised(f"({g(convert.LOANWORD)})"), f"'Abbreviation ' || ({g(convert.ABBREVIATION, 2)})", raised(f"({also})"), g(convert.UNIT)]
+    notes += [f"case when contains(english, '{t}') then '{n}' end" for t, n in convert.TAGS]
+    notes.append(f"case when ({after}) = '' then {year} else ({year}) || '; ' || ({raised(f'({rest})')}) end")
+    kept = f"list_filter([{', '.join(f'({n})' for n in notes)}], lambda n: n is not null)"
+    first = f"y as (select p_partkey, case when len({kept}) > 0 then array_to_string({kept}, '; ') || ' ' else '' end || '(CC-CEDICT ''' || traditional || ''')' as t from entries)"
+    without = lambda p: f"case when coalesce({_group_sql('t', p)}, '') <> '' then replace(t, {_group_sql('t', p)}, '') else t end as t"
+    return f"{first}, z as (select p_partkey, {without(convert.BRACKETS)} from y) select p_partkey, {without(convert.PIPE).removesuffix(' as t')} as notes from z"
+
+
+@query(f"with {_TEXTS_SQL}, {_notes_sql()}")
 def notes_format(spark, d):
     return _english(spark, d).select("p_partkey", convert.formatted_notes(F.col("english"), F.col("traditional")).alias("notes"))
 
 
-@query()
+@query(_english_sql(f"""{_TEXTS_SQL.replace("entries as (select *, simplified as traditional from e)", "every as (select *, simplified || p_partkey as traditional from e), entries as (select * from every where p_partkey % 3 <> 0 and length(traditional) > 1 and not (starts_with(english, 'variant') or starts_with(english, 'see')) order by p_partkey limit 10)")}""")
++ " select 6005841 + row_number() over (order by p_partkey) as luid, simplified, traditional, formatted as english from xs join entries using (p_partkey)")
+def diff_candidates(spark, d):
+    """The first entries of another dictionary that could be added to ours."""
+    e = _english(spark, d).withColumn("traditional", F.concat("traditional", F.col("p_partkey").cast("string"))).withColumn("ord", F.col("p_partkey"))
+    theirs = convert.entries(e.withColumn("pinyin", F.lit("x")))
+    ours = e.where("p_partkey % 3 = 0").select(F.col("traditional").alias("key"), F.array(F.struct(F.lit("x").alias("pinyin"))).alias("senses"))
+    return convert.candidates(convert.absent(theirs, ours), ours).select("luid", "simplified", "traditional", "english")
+
+
+@query("""with recursive lines as (select p_partkey as o, p_name as simplified, case when p_size % 2 = 0 then '\\N' else p_brand end as traditional, p_type || ' ' || p_name as english from part),
+keyed as (select simplified as key, * from lines union all select traditional, * from lines where traditional <> '\\N' and traditional <> simplified),
+s as (select key, string_agg(simplified, '、' order by o) as simplified from (select key, simplified, min(o) as o from keyed group by 1, 2) group by key),
+t as (select key, string_agg(traditional, '、' order by o) as traditional from (select key, traditional, min(o) as o from keyed group by 1, 2) group by key),
+n as (select key, min(o) as o, case when count(*) = 1 then min(english) else string_agg(r || '. ' || english, '; ' order by o) end as english from (select *, row_number() over (partition by key order by o) as r from keyed) group by key),
+e as (select row_number() over (order by o, key) as i, simplified as s, case when traditional = '\\N' then simplified else traditional end as t, english from n join s using (key) join t using (key)),
+f as (select cast(0 as bigint) as i, cast([] as varchar[]) as done, false as taken
+  union all select f.i + 1, case when list_contains(done, s) or list_contains(done, t) then done else list_concat(done, [s, t]) end, not (list_contains(done, s) or list_contains(done, t)) from f join e on e.i = f.i + 1)
+select t || ' ' || s || ' [] /' || english || '/' as line from e join f using (i) where taken""")
 def cedict_text(spark, d):
     """Part entries as lines of the other format."""
     return convert.cedict_lines(part_entries(spark, d)).select("line")
@@ -509,10 +593,12 @@ def hamming_histogram(spark, d):
     return table(spark, d, "part").groupBy(distance.hamming(F.col("p_name"), F.col("p_brand")).alias("d")).agg(F.count("*").alias("n"))
 
 
-@query("select p_name || '/' || p_brand as path from part where not starts_with(p_name, 'red')")
+@query("select p_name || '/' || p_brand as path, 'x' as gloss from part where not starts_with(p_name, 'red')")
 def index_paths(spark, d):
-    rows = table(spark, d, "part").select(F.concat(F.when(F.col("p_name").startswith("red"), "#").otherwise(""), "p_brand", F.lit("\tx")).alias("line"), "p_name").where("not startswith(line, '#')")
-    return rows.select(F.concat_ws("/", "p_name", corpus.joined_path(F.split("line", "\t")[0])).alias("path"))
+    """An index of parts, with those of one colour as comments."""
+    line = F.concat(F.when(F.col("p_name").startswith("red"), "#").otherwise(""), "p_name", F.lit("/"), "p_brand", F.lit("\tx\t"), "p_type")
+    rows = corpus.parsed_index(table(spark, d, "part").select(line.alias("line")), corpus.DOCUMENT_COLUMNS)
+    return rows.select(corpus.joined_path(F.col("source_file")).alias("path"), F.col("gloss_file").alias("gloss"))
 
 
 @query()

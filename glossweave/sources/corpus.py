@@ -21,11 +21,16 @@ def joined_path(name: Column, folder: str = "") -> Column:
     return F.concat_ws("/", F.lit(folder), name) if folder else name
 
 
-def index(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def index(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """A tab-separated index without its comments and blank lines; missing fields are null."""
-    fields = F.split("line", "\t")
-    rows = lines(spark, path).where("line <> '' and not startswith(line, '#')")
-    return rows.select(*(F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(columns)))
+    return parsed_index(lines(spark, path), columns)
+
+
+def parsed_index(rows: DataFrame, columns: list[str], cut_comments: bool = False) -> DataFrame:
+    """The same of lines (line).  cut_comments: a # ends a line wherever it stands."""
+    line = F.regexp_replace("line", "#.*$", "") if cut_comments else F.col("line")
+    kept = rows.select(line.alias("line")).where("line <> '' and not startswith(line, '#')")
+    return kept.select(*(F.get(F.split("line", "\t"), F.lit(i)).alias(c) for i, c in enumerate(columns)))
 
 
 def indexed_paths(spark: SparkSession, home: str, prefix: str = "") -> list[str]:

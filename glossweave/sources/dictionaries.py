@@ -47,10 +47,10 @@ def dictionary_lines(spark: SparkSession, places: list[str]) -> DataFrame:
 
 
 def configured_paths(home: str | None = None) -> list[str]:
-    """Files that config.yaml under CNREADER_HOME lists after LUFiles."""
+    """Files that config.yaml in a folder lists after LUFiles; by default the folder that CNREADER_HOME names, for set-ups that have it."""
     home = home or os.environ.get("CNREADER_HOME")
     if not home:
-        raise ConfigException("CNREADER_HOME is not set")
+        raise ConfigException("no folder is given, and CNREADER_HOME is not set")
     with open(f"{home}/config.yaml", encoding="utf-8") as f:
         for line in f:
             if "LUFiles" in line and ":" in line:
@@ -71,8 +71,13 @@ def cedict_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Rows: ord, traditional, simplified, pinyin, english.  The first three are split as
     late as they can be, as greedy patterns do.
     """
+    return parsed_cedict(lines(spark, path).select((F.monotonically_increasing_id() + 1).alias("ord"), "line"))
+
+
+def parsed_cedict(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cedict_rows of lines (ord, line)."""
     pattern = r"(.*) (.*) \[(.*)\] /(.*)/"
-    rows = lines(spark, path).select((F.monotonically_increasing_id() + 1).alias("ord"), strip(F.col("line")).alias("line"))
+    rows = numbered.select("ord", strip(F.col("line")).alias("line"))
     rows = rows.where("line <> '' and not startswith(line, '#')")
     names = ["traditional", "simplified", "pinyin", "english"]
     parsed = rows.where(F.col("line").rlike(pattern)).select("ord", *(F.regexp_extract("line", pattern, i + 1).alias(c) for i, c in enumerate(names)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(spark: SparkSession, name: str) -> None:
     spark.sql(f"drop table if exists {name}")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one while the master is local and it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or f"file://{tempfile.gettempdir()}/glossweave"

@@ -1,6 +1,7 @@
 import http.server
 import json
 import threading
+import time
 from functools import partial
 
 import pytest
@@ -72,7 +73,7 @@ def test_greedy(spark):
 @settings(max_examples=80, deadline=None)
 def test_greedy_is_lossless(words, chunk):
     held = frozenset(words)
-    got = tokenize.greedy(held, max(map(len, held), default=1), chunk)
+    got = tokenize.greedy(held, tokenize.sizes(held), chunk)
     assert "".join(got) == chunk
     i = 0
     for t in got:
@@ -313,3 +314,53 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     got = {r.character: r.n for r in spark.table("so_far").collect()}
     q.stop()
     assert got == {"中": 2, "文": 2}
+
+
+def test_long_words_and_choices(spark):
+    m = prefix.Machine()
+    end = m.new_state(True)
+    for x in "ab":
+        m.add_transition(0, x, 0)
+        m.add_transition(end, x, end)
+    m.add_transition(0, "a", end)
+    nodes, edges = m.tables(spark)
+    words = spark.createDataFrame([("b" * 999 + "a", True), ("b" * 1000, False), ("a" * 1000, True), ("", False), (None, None), ("abc", False)], "word string, Hit boolean")
+    got = prefix.recognizes(nodes, edges, words)
+    assert got.columns == ["word", "Hit", "recognized"]
+    assert got.where("not (Hit <=> recognized)").count() == 0
+    short = words.where("length(word) < 9 or word is null")
+    assert prefix._joined(nodes, edges, short).where("not (Hit <=> recognized)").count() == 0
+    long = spark.createDataFrame([("ab" * 10, True), ("b" * 20, False)], "word string, Hit boolean")
+    assert prefix._joined(nodes, edges, long).where("not (Hit <=> recognized)").count() == 0
+    assert (m.start(), m.states(), m.accepting_states()) == (0, {0, 1}, {1})
+    assert m.transitions() == {(0, "a"): {0, 1}, (0, "b"): {0}, (1, "a"): {1}, (1, "b"): {1}}
+
+
+def test_pairs_of_a_long_line(spark):
+    line = "é中" * 100_000
+    began = time.perf_counter()
+    assert column(spark, [line], lambda c: F.size(text.bigrams(c))) == [199_999]
+    assert time.perf_counter() - began < 20
+    assert column(spark, [None, "é", "é\U00020e95中"], text.bigrams) == [None, [], ["é\U00020e95", "\U00020e95中"]]
+
+
+def test_own_columns_stay(spark):
+    words = spark.createDataFrame([("ab",)], "word string")
+    df = spark.createDataFrame([("abc", "mine", "own")], "text string, t string, h string")
+    for made in (tokenize.tokenize(df, words), tokenize.tokens_by_join(df, words), tokenize.tokenize(df, words, exclude_whole=True)):
+        assert made.collect()[0].asDict() == {"text": "abc", "t": "mine", "h": "own", "tokens": ["ab", "c"]}
+    again = df.withColumn("tokens", F.lit("old"))
+    assert tokenize.tokens_by_join(again, words).first().tokens == tokenize.tokenize(again, words).first().tokens == ["ab", "c"]
+    none = spark.createDataFrame([], "key string, senses array<struct<simplified:string,traditional:string,pinyin:string,english:string>>")
+    both = df.withColumn("both", F.lit("x"))
+    assert (dictionary.to_traditional(df, none).first().t, dictionary.to_simplified(both, none).first().both) == ("mine", "x")
+    nodes = prefix.trie(words)
+    assert prefix.accepts(nodes, words.withColumn("hit", F.lit(7))).first().hit == 7
+    x = spark.createDataFrame([("to say", "mine")], "english string, __x string")
+    assert convert.with_formatted_english(x).first().asDict() == {"english": "to say", "__x": "mine", "formatted": "to say"}
+
+
+def test_index_comments_inside_a_line(spark):
+    rows = spark.createDataFrame([("a\tb # c",), ("# x",), ("",), ("only",)], "line string")
+    assert [tuple(r) for r in corpus.parsed_index(rows, ["x", "y"], cut_comments=True).collect()] == [("a", "b "), ("only", None)]
+    assert [r.y for r in corpus.parsed_index(rows, ["x", "y"]).collect()] == ["b # c", None]

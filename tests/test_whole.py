@@ -13,14 +13,14 @@ def documents(spark, tmp_path, texts):
     return str(tmp_path)
 
 
-def test_word_freq_doc_all_has_every_document(spark, tmp_path):
+def test_word_freq_doc_has_every_document(spark, tmp_path):
     d = documents(spark, tmp_path, [f"a b, a.\nc{i % 3} a" for i in range(30)])
-    got = {(r.document, r.word): (r.frequency, r.collection, r.doc_len, r.idf) for r in QUERIES["word_freq_doc_all"](spark, d).collect()}
+    got = {(r.document, r.word): (r.frequency, r.collection, r.doc_len, r.idf) for r in QUERIES["word_freq_doc"](spark, d).collect()}
     df = {"a": 30, "b": 30, "c0": 10, "c1": 10, "c2": 10}
     assert got == {(str(i), w): (3 if w == "a" else 1, "s", 5, round(math.log10(31 / df[w]), 9)) for i in range(30) for w in ("a", "b", f"c{i % 3}")}
 
 
-def test_training_rows_all_scores_every_pair(spark, tmp_path):
+def test_training_rows_scores_every_pair(spark, tmp_path):
     texts = ["éñéñ aéñ", "ñé\nüüü", "不ü éñ"]
     kept = ["".join(c for c in line if ord(c) > 128) for t in texts for line in t.split("\n")]
     chars, pairs = Counter("".join(kept)), Counter(s[i : i + 2] for s in kept for i in range(len(s) - 1))
@@ -29,7 +29,7 @@ def test_training_rows_all_scores_every_pair(spark, tmp_path):
         both = n + (pairs[p[::-1]] if p != p[::-1] else 0)
         chance = chars[p[0]] * chars[p[1]] / sum(chars.values()) ** 2
         expected[p] = (round(math.log2(both / sum(pairs.values()) / chance), 9), int("不" in p), int(n % 3 != 0))
-    got = {r.term: (r.mi, int(r.has_function_word), r.result) for r in QUERIES["training_rows_all"](spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.term: (r.mi, int(r.has_function_word), r.result) for r in QUERIES["training_rows"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == expected
     assert {x[2] for x in got.values()} == {0, 1}
     assert not all(t.startswith("é") for t in got)
