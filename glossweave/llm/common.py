@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.sources.tables import checkpoint_dir
+
 #: The characters that separate words, as a class for Java's and Python's regular expressions.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -29,11 +30,8 @@ def tokenizer(name: str) -> str:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a local one if that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/glossweave"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that all executors see, under spark.checkpoint.dir (a local one only while the master is local and that is unset)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
 
@@ -70,3 +68,21 @@ def ascii_lower(text):
     """A-Z to a-z and nothing else; lower() does that for texts of ASCII alone."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+#: A key with more than this share of all rows is hot, so there are at most this many hot keys.
+HOT_KEYS = 1000
+
+
+def joined(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined ("inner" or "left") with small, which has each key once and, as ``weight``, how many rows of big have it.
+
+    Rows of small whose weight is over a thousandth of ``total``, the sum of all weights
+    or more, are broadcast, of which there can be no more than a thousand; the others
+    meet in a shuffle, where no key has more rows than that.  weight is dropped.
+    """
+    is_hot = F.col(weight) * HOT_KEYS > total
+    hot, cold = small.where(is_hot).drop(weight), small.where(~is_hot).drop(weight)
+    found = big.join(F.broadcast(hot), keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return found.unionByName(rest)

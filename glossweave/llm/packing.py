@@ -1,13 +1,16 @@
 """Packing into windows by multiway differencing (Karmarkar and Karp).
 
-Every document becomes token ids with an end id.  Whole windows are cut from its
-front; what is left is cut into parts of ``part`` / 2 to ``part`` ids, of all lengths,
-since differencing balances unlike numbers best.  Parts are gathered until they fill ``group`` windows but for ``slack`` ids each, and differencing deals
-them out: partial partitions are merged, the most unequal two first, the largest
-sums of one onto the smallest of the other, which leaves windows of nearly the same
-length.  If a window goes over the capacity, the number of windows rises and the
-group is dealt out again.  The last group of a partition fills windows to the brim
-and cuts the rest at powers of two, so it needs no padding.
+Every document becomes token ids with an end id.  Whole windows are cut from its front;
+what is left is a tail.  Tails are gathered until they fill ``group`` windows but for
+``slack`` ids each, and differencing deals them out: partial partitions are merged, the
+most unequal two first, the largest sums of one onto the smallest of the other, which
+leaves windows of nearly the same length.  If a window goes over the capacity, tails
+longer than half a window are cut and the group is dealt out again, then those longer
+than a quarter, then those longer than ``part``; pieces are of unlike lengths, since
+differencing balances those best.  If even that goes over, the number of windows rises.
+
+The end of a partition is dealt out in the same way, into as many windows as it fills;
+less than a window is left then, and is cut at powers of two, so it needs no padding.
 
 A group is bounded, so memory is; nothing is shuffled, and a lost task is made again
 from its part of the input.
@@ -59,9 +62,9 @@ def difference(lengths: list[int], k: int) -> list[list[int]]:
     return sets
 
 
-def deal(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Sets of indices, each of at most capacity: as few sets as differencing finds."""
-    k = max(1, -(-sum(lengths) // capacity))
+def deal(lengths: list[int], capacity: int, least: int = 1) -> list[list[int]]:
+    """Sets of indices, each of at most capacity: as few sets as differencing finds, ``least`` or more."""
+    k = max(least, -(-sum(lengths) // capacity))
     while True:
         sets = difference(lengths, k)
         if all(sum(lengths[i] for i in s) <= capacity for s in sets):
@@ -69,15 +72,34 @@ def deal(lengths: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+Piece = tuple[object, int, int]
+
+
+def cut(tails: list[Piece], longest: int) -> list[Piece]:
+    """The same ids in pieces (document, start, length) of at most ``longest``, of unlike lengths where one is cut."""
+    out, cuts = [], 0
+    for doc, start, n in tails:
+        while n > longest:
+            cuts += 1
+            m = max(1, longest // 2 + cuts * 89 % max(1, longest // 2))
+            out.append((doc, start, m))
+            start, n = start + m, n - m
+        out.append((doc, start, n))
+    return out
+
+
 class Packer:
     """Documents in, (document, start, length, sequence, offset, sequence length) out."""
 
-    def __init__(self, capacity: int = 2048, group: int = 32, part: int = 320, slack: int = 4):
-        self.capacity, self.part, self.full = capacity, min(part, capacity), group * (capacity - slack)
-        self.parts: list[tuple[object, int, int]] = []
-        self.held = self.sequence = self.cuts = 0
+    def __init__(self, capacity: int = 2048, group: int = 32, part: int = 320, slack: int = 12):
+        if capacity < 1 or group < 1 or not 0 <= slack < capacity:
+            raise ValueError("capacity and group must be positive, and slack less than capacity")
+        self.capacity, self.group, self.slack, self.full = capacity, group, slack, group * (capacity - slack)
+        self.levels = sorted({capacity, max(1, capacity // 2), max(1, capacity // 4), max(1, min(part, capacity))}, reverse=True)
+        self.tails: list[Piece] = []
+        self.held = self.sequence = 0
 
-    def window(self, parts: list[tuple[object, int, int]]) -> Iterator[tuple]:
+    def window(self, parts: list[Piece]) -> Iterator[tuple]:
         size, offset = sum(n for _, _, n in parts), 0
         for doc, start, n in parts:
             yield doc, start, n, self.sequence, offset, size
@@ -90,38 +112,64 @@ class Packer:
             yield from self.window([(doc, start, self.capacity)])
             start += self.capacity
         while start < tokens:
-            self.cuts += 1
-            n = min(self.part // 2 + self.cuts * 89 % self.part // 2, tokens - start, self.full - self.held)
-            self.parts.append((doc, start, n))
+            n = min(tokens - start, self.full - self.held)
+            self.tails.append((doc, start, n))
             self.held += n
             start += n
             if self.held == self.full:
-                for s in deal([n for _, _, n in self.parts], self.capacity):
-                    yield from self.window([self.parts[i] for i in s])
-                self.parts, self.held = [], 0
+                yield from self.dealt(self.tails, self.group)
+                self.tails, self.held = [], 0
+
+    def sets(self, tails: list[Piece], k: int) -> list[list[Piece]] | None:
+        """k windows by differencing, with as few cuts as balance them; None if there are none."""
+        for longest in self.levels:
+            pieces = cut(tails, longest)
+            sets = difference([n for _, _, n in pieces], k)
+            if all(sum(pieces[i][2] for i in s) <= self.capacity for s in sets):
+                return [[pieces[i] for i in s] for s in sets if s]
+        return None
+
+    def dealt(self, tails: list[Piece], k: int) -> Iterator[tuple]:
+        found = self.sets(tails, k)
+        if found is None:
+            pieces = cut(tails, self.levels[-1])
+            found = [[pieces[i] for i in s] for s in deal([n for _, _, n in pieces], self.capacity, k + 1)]
+        for parts in found:
+            yield from self.window(parts)
 
     def end(self) -> Iterator[tuple]:
-        """The rest, in order: whole windows, then one window for each power of two in what is left."""
-        room = self._sizes(self.held)
-        size, window = next(room, 0), []
-        for doc, a, n in self.parts:
-            while n:
-                m = min(n, size - sum(x[2] for x in window))
-                window.append((doc, a, m))
-                a, n = a + m, n - m
-                if sum(x[2] for x in window) == size:
-                    yield from self.window(window)
-                    size, window = next(room, 0), []
-        self.parts, self.held = [], 0
-
-    def _sizes(self, left: int) -> Iterator[int]:
-        while left:
-            n = min(self.capacity, 1 << (left.bit_length() - 1)) if left < self.capacity else self.capacity
-            yield n
-            left -= n
-
-
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, group: int = 32, part: int = 320, slack: int = 4) -> DataFrame:
+        """The rest: windows by differencing, with more room in each if they don't balance, then one for each power of two in what is left."""
+        rest, room = self.tails, self.capacity - self.slack
+        while k := sum(n for _, _, n in rest) // room:
+            first, last = self._parted(rest, k * room)
+            found = self.sets(first, k)
+            if found is None and (wider := self.capacity - 2 * (self.capacity - room) - 1) > self.capacity // 2:
+                room = wider
+                continue
+            if found is None:
+                yield from self.dealt(first, k)
+            for parts in found or ():
+                yield from self.window(parts)
+            rest = last
+        while left := sum(n for _, _, n in rest):
+            first, rest = self._parted(rest, 1 << (left.bit_length() - 1))
+            yield from self.window(first)
+        self.tails, self.held = [], 0
+
+    def _parted(self, tails: list[Piece], ids: int) -> tuple[list[Piece], list[Piece]]:
+        """The first ids of tails, and the rest; at most one tail is cut."""
+        first, rest = [], []
+        for doc, start, n in tails:
+            m = min(n, ids)
+            if m:
+                first.append((doc, start, m))
+            if m < n:
+                rest.append((doc, start + m, n - m))
+            ids -= m
+        return first, rest
+
+
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, capacity: int = 2048, group: int = 32, part: int = 320, slack: int = 12) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of at most ``capacity`` ids.
 
     One row per piece, as SCHEMA says: start counts the document's ids before the

@@ -1,12 +1,15 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from glossweave.llm import packing
 from glossweave.llm.packing import Packer, deal, difference, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +52,42 @@ def test_each_id_once_and_no_gap(tokens):
         assert at == size <= 128
 
 
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_windows_come_from_differencing(partitions, monkeypatch):
+    """All windows of several pieces, but what is less than a window at the end."""
+    r = random.Random(partitions)
+    tokens = [int(r.lognormvariate(5.5, 1.2)) + 1 for _ in range(3200)]
+    dealt, last, total = 0, 0, 0
+    for p in range(partitions):
+        packer, sets = Packer(), []
+        monkeypatch.setattr(packing, "difference", lambda n, k: sets.extend(x := difference(n, k)) or x)
+        rows = [x for i, n in enumerate(tokens[p::partitions]) for x in packer.add(i, n)] + list(packer.end())
+        seqs = defaultdict(list)
+        for doc, start, n, q, offset, size in rows:
+            seqs[q].append((doc, start, n))
+        found = {len(s) for s in sets}
+        several = [q for q, x in seqs.items() if sum(n for _, _, n in x) > 1024 and x[0][2] < 2048]
+        assert all(len(seqs[q]) in found for q in several)
+        dealt += len(several)
+        small = [sum(n for _, _, n in x) for q, x in seqs.items() if q not in several and x[0][2] < 2048]
+        assert len(small) <= 11
+        last += sum(small)
+        total += sum(tokens[p::partitions])
+        assert sum(2048 - sum(n for _, _, n in seqs[q]) for q in several) < 0.02 * 2048 * len(several)
+    assert dealt > 250 / 2
+    assert last < 0.02 * total * max(1, partitions / 4)
+
+
+def test_documents_are_cut_only_for_balance():
+    r = random.Random(7)
+    tokens = [r.randint(1, 2000) for _ in range(2000)]
+    packer = Packer()
+    rows = [x for i, n in enumerate(tokens) for x in packer.add(i, n)] + list(packer.end())
+    pieces = Counter(x[0] for x in rows)
+    assert sum(pieces[i] == 1 for i, n in enumerate(tokens) if n <= 512) > 0.5 * sum(n <= 512 for n in tokens)
+    assert sum(pieces[i] == 1 for i, n in enumerate(tokens) if n <= 320) > 0.9 * sum(n <= 320 for n in tokens)
+
+
 def test_pack_whole_texts(spark):
     tok = Tokenizer.from_file(PATH)
     texts = {1: "Hello world, this is a test.", 2: "", 3: None, 4: "long text with words " * 3000, 5: "Hello world, this is a test.", None: "nothing"}
