@@ -9,14 +9,13 @@ State, in tables of the shared folder:
               references, sharded by the key
 
 insert() adds documents, delete() takes them out, and both touch only the counts of
-the keys concerned and only the filters of keys that cross ``min_docs``.  apply()
-probes every line: a key that no filter knows stays, with no join; one that a filter
-knows is looked up in the counts, which decide.  While the filters are within
-``BROADCAST_BYTES`` each task probes its own lines; beyond that all lines take the
-exact join.
+the keys concerned and only the filters of keys that cross ``min_docs``.  apply() sends
+every distinct key of its documents to the filter of its shard, once, however many lines
+have it; what a filter doesn't know stays, and what one knows is looked up in the counts,
+which decide.  Filters never leave their shards: no task or driver holds all of them.
 
 Counting is partial before the shuffle, so a line that every document has costs each
-task one row.
+task one row, and the verdicts on such lines are broadcast, at most a thousand of them.
 """
 
 from __future__ import annotations
@@ -31,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import map_arrow, written
+from glossweave.functions.names import unused
+from glossweave.llm.common import joined, map_arrow, written
 from glossweave.llm.cuckoo import Cuckoo
 
-BROADCAST_BYTES, SHARD_KEYS = 32 << 20, 50_000
-#: Stands for a null doc_id: the smallest document.
+#: Keys of a filter, about; keys that meet a filter in one call, about.
+SHARD_KEYS, SLICE_KEYS = 50_000, 250_000
+#: Stands for a null doc_id: the smallest document.  A doc_id of this value is the same as null.
 NULL = -(1 << 63)
 _SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -133,69 +134,53 @@ class LineIndex:
         self.filters = written(moved.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_changed, "shard long, blob binary"), "filters")
         return self
 
-    def _probe(self):
-        """A function of a task that says which keys (pairs of 64 bits) a filter knows; None beyond the bound."""
-        size = self.filters.agg(F.sum(F.length("blob"))).first()[0] or 0
-        if size > BROADCAST_BYTES:
-            return None
-        spark, shards = self.filters.sparkSession, self.shards
-        held = spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in self.filters.collect()})
-
-        def probe(pairs: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(pairs), bool)
-            shard = pairs[:, 0] % shards
-            for s in np.unique(shard):
-                if s in held.value:
-                    out[shard == s] = Cuckoo.read(held.value[s]).has(_hash(pairs[shard == s]))
-            return out
-
-        return probe
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs (doc_id, text and any others) with the kept lines as text, and __n_lines and __n_dropped."""
-        probe, min_chars, names = self._probe(), self.min_chars, docs.columns
+    def known(self, keys: DataFrame) -> DataFrame:
+        """Those of keys (k1, k2, n), each there once, that the filter of their shard knows, which false ones may pass."""
+        slices = max(1, -(-keys.count() // (max(1, self.shards) * SLICE_KEYS)))
+        parts = keys.withColumns({"shard": _shard(max(1, self.shards)), "slice": F.pmod(F.col("k2"), F.lit(slices))})
+        filters = self.filters.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        return parts.groupBy("shard", "slice").cogroup(filters.groupBy("shard", "slice")).applyInPandas(_probed, f"{KEY}, n long")
+
+    def dropped(self, asked: DataFrame) -> DataFrame:
+        """(doc, keys that go from it) of postings."""
+        keys = written(asked.groupBy("k1", "k2").agg(F.count("*").alias("n")), "keys")
+        total = keys.agg(F.sum("n")).first()[0] or 0
+        frequent = self.known(keys).join(self._frequent(self.counts), ["k1", "k2"]).select("k1", "k2", "n", "keeper")
+        gone = joined(asked, written(frequent, "frequent"), ["k1", "k2"], "n", total).where("doc <> keeper")
+        return gone.groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+
+    def apply(self, docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+        """docs (doc_id, text and any others) with the kept lines as text, and two more columns: lines before, lines dropped.
+
+        These are n_lines and n_dropped, with underscores behind them where docs has such
+        columns.  asked: postings of docs, if they are known.
+        """
+        min_chars, names = self.min_chars, docs.columns
+        n_lines, n_dropped, doc, drop = unused(docs, "n_lines", "n_dropped", "doc", "drop")
         shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        gone = self.dropped(written(postings(docs, min_chars), "asked") if asked is None else asked)
+        met = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL))).join(gone.select(F.col("doc").alias(doc), F.col("keys").alias(drop)), doc, "left")
 
-        def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Adds __keys, what its lines' keys are where a filter may know one of them, else null."""
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = names.index("text")
             for batch in batches:
-                per_row = [[line_key(line, min_chars) for line in (t.as_py() or "").encode().split(b"\n")] for t in batch.column(at)]
-                flat = [k for row in per_row for k in row if k]
-                known = probe(_pairs(flat)) if probe and flat else np.ones(len(flat), bool)
-                out, i, lines = [], 0, []
-                for row in per_row:
-                    n = sum(k is not None for k in row)
-                    own = {k for k, hit in zip((k for k in row if k), known[i : i + n], strict=True) if hit}
-                    out.append(_pairs(sorted(own)).tolist() if own else None)
-                    lines.append(len(row))
-                    i += n
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.int64()))), pa.array(lines, pa.int64())], [*names, "__keys", "__n_lines"])
-
-        probed = map_arrow(docs, suspects, f"{shown}, __keys array<array<bigint>>, __n_lines long")
-        clean = probed.where("__keys is null").drop("__keys").withColumn("__n_dropped", F.lit(0).cast("long"))
-
-        # What the filters let through: only the keys travel to the exact counts, and their verdicts to the documents.
-        rows = probed.where("__keys is not null").select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), F.explode("__keys").alias("key")).distinct()
-        asked = rows.select("doc", "key", F.col("key")[0].alias("k1"), F.col("key")[1].alias("k2")).join(self._frequent(self.counts), ["k1", "k2"]).where("doc <> keeper")
-        verdicts = asked.groupBy("doc").agg(F.collect_list("key").alias("__drop"))
-
-        def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = names.index("text")
-            for batch in batches:
-                texts, counts = [], []
-                for t, drop in zip(batch.column(at), batch.column(len(names) + 1).to_pylist(), strict=True):
-                    drop = {struct.pack("<qq", *k) for k in drop or ()}
-                    lines = (t.as_py() or "").encode().split(b"\n")
-                    kept = [x for x in lines if line_key(x, min_chars) not in drop]
-                    texts.append(b"\n".join(kept).decode() if drop else t.as_py())
-                    counts.append(len(lines) - len(kept))
-                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names) + 1])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "__n_lines", "__n_dropped"])
-
-        met = probed.where("__keys is not null").drop("__keys").withColumn("__doc", F.coalesce("doc_id", F.lit(NULL)))
-        met = met.join(verdicts.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*names, "__n_lines", "__drop")
-        return clean.unionByName(map_arrow(met, dropped, f"{shown}, __n_lines long, __n_dropped long"))
+                texts, befores, counts = [], [], []
+                for t, keys in zip(batch.column(at), batch.column(len(names)), strict=True):
+                    t = t.as_py()
+                    lines = (t or "").encode().split(b"\n")
+                    befores.append(len(lines))
+                    if not keys.is_valid:
+                        texts.append(t)
+                        counts.append(0)
+                        continue
+                    own = {struct.pack("<qq", k["k1"], k["k2"]) for k in keys.as_py()}
+                    rest = [x for x in lines if line_key(x, min_chars) not in own]
+                    texts.append(b"\n".join(rest).decode())
+                    counts.append(len(lines) - len(rest))
+                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(befores, pa.int64()), pa.array(counts, pa.int64())], [*names, n_lines, n_dropped])
+
+        return map_arrow(met.select(*(F.col(f"`{c}`") for c in names), drop), kept, f"{shown}, `{n_lines}` long, `{n_dropped}` long")
 
 
 def _hash(pairs: np.ndarray) -> np.ndarray:
@@ -206,6 +191,13 @@ def _built(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [Cuckoo.of(_hash(pdf[["k1", "k2"]].to_numpy())).write()]})
 
 
+def _probed(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    out = keys[["k1", "k2", "n"]]
+    if not len(filters) or not len(keys):
+        return out[:0]
+    return out[Cuckoo.read(filters["blob"].iloc[0]).has(_hash(keys[["k1", "k2"]].to_numpy()))]
+
+
 def _changed(keys: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
     if not len(keys):
         return now[["shard", "blob"]]
@@ -219,14 +211,20 @@ def _changed(keys: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
 
 
 def deduped(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """docs with repeated lines dropped, and __n_lines and __n_dropped.  An empty table gives no rows."""
-    return LineIndex(docs.sparkSession, min_docs, min_chars).insert(docs).apply(docs)
+    """docs with repeated lines dropped, and the two columns of apply().
+
+    Null or empty text is one empty line and stays as it is.  Rows count as documents each
+    for itself; rows that share a doc_id, or have none, keep or lose a line together.
+    An empty table gives no rows.
+    """
+    index = LineIndex(docs.sparkSession, min_docs, min_chars).insert(docs)
+    return index.apply(docs, index.postings)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: lines before, lines dropped, and the digest of what stays."""
     out = deduped(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: DuckDB SQL of report() over the table documents.

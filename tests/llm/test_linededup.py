@@ -42,14 +42,14 @@ def got(df):
     return sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.n_lines, r.n_dropped, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("bound", [32 << 20, 0])
-def test_equals_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", bound)
+@pytest.mark.parametrize("few", [250_000, 3])
+def test_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "SLICE_KEYS", few)
     line = "a line that repeats, number 3 é"
     rows = rows_of(1) + [(None, line), (None, None), (7000, line + "\n" + line), (7000, line), (7001, "x" * 300000)]
     assert got(report(frame(spark, rows))) == brute(rows)
     assert got(report(frame(spark, rows).where("false"))) == []
-    assert deduped(frame(spark, rows)).columns == ["doc_id", "text", "key", "k1", "__n_lines", "__n_dropped"]
+    assert deduped(frame(spark, rows)).columns == ["doc_id", "text", "key", "k1", "n_lines", "n_dropped"]
 
 
 def test_insertions_and_deletions_are_reversible(spark):
@@ -63,6 +63,30 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert digest(a + c, index) == brute(a + c)
 
 
+@pytest.mark.parametrize("few", [250_000, 3])
+def test_filters_are_probed_at_any_size(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "SLICE_KEYS", few)
+    rows = rows_of(5)
+    index = LineIndex(spark).insert(frame(spark, rows))
+    assert index.dropped(index.postings).count() > 0
+    index.filters = index.filters.where("false")
+    assert index.dropped(index.postings).count() == 0
+
+
+def test_own_columns_stay(spark):
+    line = "a line that repeats, number 3"
+    df = spark.createDataFrame([(i, line, "own", "mine", "keys", 7) for i in range(4)], "doc_id long, text string, n_lines string, N_Dropped string, doc string, drop long")
+    got = deduped(df)
+    assert got.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    assert {(r.doc_id, r.text, r.n_lines, r.doc, r.drop, r.n_lines_, r.n_dropped_) for r in got.collect()} == {(i, line if i == 3 else "", "own", "keys", 7, 1, int(i < 3)) for i in range(4)}
+
+
+def test_a_line_of_most_documents_is_broadcast(spark):
+    line, other = "a line that every document has", "another line that a few documents have"
+    rows = [(i, f"{line}\n{i}" + (f"\n{other}" if i % 500 == 0 else "")) for i in range(3000)]
+    assert got(report(frame(spark, rows))) == brute(rows)
+
+
 def test_cuckoo():
     keys = mix(np.arange(3000, dtype=np.uint64))
     f = Cuckoo.of(keys)
