@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
-from glossweave.llm.pii import detected
+from glossweave.llm.pii import detected, measured
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -60,5 +61,45 @@ def test_contexts_give_identifiers_away(spark):
     assert (kind, texts[9][int(a) : int(b)]) == ("phone", "(650) 555-1234")
 
 
+def test_time_is_nearly_linear(spark):
+    def seconds(text):
+        began = time.perf_counter()
+        detected(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        return time.perf_counter() - began
+
+    seconds("1 a 12")
+    few = seconds("12 a " * 100)
+    assert seconds("12 a " * 32_000) < few + 4
+
+
+def test_seeds_that_are_held_out_are_found_again(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(5))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"{word()} {word()} password: {key()} {word()}" for _ in range(60)] + [f"{word()} {word()} {r.randint(10, 10**6)} {word()}" for _ in range(300)]
+    texts += [f"{word()} mail {word()}@{word()}.org {word()}" for _ in range(60)] + [f"{word()} digest {key()}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.kind: x for x in measured(df, 0.3).collect()}
+    for kind in ("secret", "email"):
+        assert got[kind].hidden > 5
+        assert got[kind].found == got[kind].hidden - (kind == "secret" and got[kind].hidden > got[kind].found)
+        assert got[kind].right == got[kind].told
+    assert {x for k in ("ip", "card", "phone") for x in got[k][1:]} == {0}
+
+
+def test_unseen_secrets_of_any_shape(spark):
+    texts = [f"text token = \"{i:040x}f\" more" for i in range(10**40, 10**40 + 20)] + ['text token = "hunter22" more', "text 2024 more", "a b 12", "room 12"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x for x in detected(df).collect()}
+    assert got[20].spans == "secret:14:22"
+    assert [got[i].n_added for i in range(24)] == [1] * 21 + [0] * 3
+
+
+def test_doc_ids_of_any_value(spark):
+    rows = [(None, "mail a@b.cd"), (None, "nothing"), (-(1 << 63), "mail a@b.cd now"), ((1 << 63) - 1, None)]
+    got = detected(spark.createDataFrame([(*x, "own") for x in rows], "doc_id long, text string, h string")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_email) for x in got) == sorted((d is None, d or 0, int("@" in (t or ""))) for d, t in rows)
+
+
 def test_empty(spark):
     assert detected(spark.createDataFrame([], "doc_id long, text string")).collect() == []
