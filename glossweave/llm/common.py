@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.functions.names import unused
 from glossweave.sources.tables import checkpoint_dir
 
 #: The characters that separate words, as a class for Java's and Python's regular expressions.
@@ -70,19 +71,23 @@ def ascii_lower(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-#: A key with more than this share of all rows is hot, so there are at most this many hot keys.
-HOT_KEYS = 1000
+#: A key is hot with more than one in HOT_KEYS of all rows, so there are fewer hot keys than that; and with more than WARM rows.
+HOT_KEYS, WARM = 1000, 256
 
 
 def joined(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """big joined ("inner" or "left") with small, which has each key once and, as ``weight``, how many rows of big have it.
 
-    Rows of small whose weight is over a thousandth of ``total``, the sum of all weights
-    or more, are broadcast, of which there can be no more than a thousand; the others
-    meet in a shuffle, where no key has more rows than that.  weight is dropped.
+    A key with more than a thousandth of ``total``, the sum of all weights or more, is dealt
+    to as many parts as it has thousandths (or WARM rows, if that is more): its row of small is repeated, and rows of big
+    are sent by a hash of their other columns.  Only the names of these keys, of which there
+    can be no more than a thousand, are broadcast.  weight is dropped.
     """
-    is_hot = F.col(weight) * HOT_KEYS > total
-    hot, cold = small.where(is_hot).drop(weight), small.where(~is_hot).drop(weight)
-    found = big.join(F.broadcast(hot), keys)
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return found.unionByName(rest)
+    parts, salt = unused([*big.columns, *small.columns], "parts", "salt")
+    most = F.lit(max(WARM, total / HOT_KEYS))
+    dealt = small.withColumn(parts, F.greatest(F.ceil(F.col(weight) / most), F.lit(1)).cast("int")).drop(weight)
+    hot = dealt.where(F.col(parts) > 1).select(*keys, parts)
+    others = [F.col(f"`{c}`") for c in big.columns if c not in keys]
+    left = big.join(F.broadcast(hot), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*others), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    right = dealt.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return left.join(right, [*keys, salt], how).drop(salt)

@@ -5,17 +5,22 @@
 2. Documents with equal sets are one class; only its smallest doc_id goes on, so copies
    cost nothing further.
 3. Signatures fall into 32 bands of 4 rows; classes that agree in a band share a bucket.
-4. Every pair of a bucket of at most SMALL classes is a candidate if the estimate allows
-   the similarity.  Candidates are confirmed on the full sets, made again for the
-   documents that have any.
-5. Larger buckets that share classes are one group.  A group is cut into parts, and every
-   two parts meet in a tile, where the intersections of all pairs are counted exactly, as
-   a product of matrices.  A tile gives a spanning forest of its links: all that
-   components need, and fewer rows than members.
-6. Links are joined into components by minimum labels.
-
-So every two classes that share a bucket are looked at.  The work of a group grows with
-the square of its members, as does the text shuffled for one of many parts; rows don't.
+4. Buckets of at most SMALL classes give every pair whose estimate allows the similarity;
+   larger ones give a star: each class with the smallest of its bucket.  Candidates are
+   confirmed on the full sets, made again for the documents that have any, and links are
+   joined into components by minimum labels.
+5. A large bucket whose classes are one component by then needs nothing more.  What is
+   left, buckets of several components, is compared exactly: those that share classes are
+   one group, a group is cut into parts, and every two parts meet in a tile, where the
+   intersections of all pairs are counted, as a product of matrices.  A tile gives a
+   spanning forest of its links between components: all that is needed to join them.
+
+So every two classes that share a bucket are looked at, or are in one component already.
+Copies of one text and its small changes cost a star; only groups of many documents that
+are just under the similarity to each other cost the square of their number.
+
+What meets on a hot key (a bucket, a label, the centre of a star, a digest of copies) is
+dealt to many tasks by ``common.joined``.
 """
 
 from __future__ import annotations
@@ -27,19 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.functions.names import unused
 from glossweave.llm import shingles
-from glossweave.llm.common import map_arrow, written
+from glossweave.llm.common import joined, map_arrow, written
 
 #: Classes of a bucket whose pairs are listed; of a part of a larger group, classes and shingles.
 SMALL, PART, PART_SHINGLES = 16, 1024, 4_000_000
 #: Columns of a matrix that are multiplied at a time.
 COLUMNS = 4096
-#: An estimate this far under the asked similarity still makes a candidate: about four standard deviations.
-MARGIN = 0.12
+#: An estimate this far under the asked similarity still makes a candidate: over four standard deviations for sets of FEW shingles or more, and for smaller ones, whose estimates vary more.
+MARGIN, FEW, MARGIN_FEW = 0.14, 512, 0.22
 BROADCAST_ROWS = 1_000_000
 #: Stands for a null doc_id: the largest.
 NULL = (1 << 63) - 1
-BASE = "doc long, n long, d1 long, d2 long, sig binary, bands array<bigint>"
+BASE = "doc long, none boolean, h long, n long, d1 long, d2 long, sig binary, bands array<bigint>"
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -48,7 +54,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def based(docs: DataFrame) -> DataFrame:
-    """BASE, one row for each of docs (doc_id, text)."""
+    """BASE, one row for each of docs (doc_id, text); none says that there is no doc_id, and h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,47 +69,51 @@ def based(docs: DataFrame) -> DataFrame:
                 for j, i in enumerate(has):
                     bands[i], sigs[i] = keys[j], brief[j]
                 d = [_digest(s) for s in sets]
-                columns = [part.column(0).fill_null(NULL), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "d1", "d2", "sig", "bands"])
+                columns = [part.column(0).fill_null(NULL), part.column(0).is_null(), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BASE.split(", ")])
 
-    return map_arrow(docs.select("doc_id", "text"), run, BASE)
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text")), run, BASE)
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(doc, key, size, least) of each class in each bucket that it shares."""
-    rows = classes.select("doc", F.explode("bands").alias("key"))
-    return rows.withColumns({"size": F.expr("count(*) over (partition by key)"), "least": F.expr("min(doc) over (partition by key)")}).where("size > 1")
+def buckets(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(key, node, size, least) of each class in each bucket that it shares, and how many rows all buckets have."""
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return written(joined(rows, sizes.withColumn("weight", F.col("size")), ["key"], "weight", total), "buckets"), total
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b, distinct: pairs of class representatives of small buckets whose signatures allow the similarity."""
-    least = percent / 100 - MARGIN
+def candidates(classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b, distinct: pairs of small buckets whose signatures allow the similarity, and stars of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sigs = None, [], []
+        key, nodes, sigs, ns = None, [], [], []
 
         def bucket():
-            sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(docs), shingles.BINS)
-            for i in range(len(docs) - 1):
-                for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) + i + 1:
-                    if docs[i] != docs[j]:
-                        yield min(docs[i], docs[j]), max(docs[i], docs[j])
+            sig, n = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(nodes), shingles.BINS), np.array(ns)
+            for i in range(len(nodes) - 1):
+                margin = np.where(np.maximum(n[i + 1 :], n[i]) < FEW, MARGIN_FEW, MARGIN)
+                for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= percent / 100 - margin) + i + 1:
+                    yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
         for batch in batches:
             out = []
-            for k, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, d, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     out += bucket()
-                    key, docs, sigs = k, [], []
-                docs.append(d)
+                    key, nodes, sigs, ns = k, [], [], []
+                nodes.append(d)
                 sigs.append(s)
+                ns.append(n)
             if out:
                 yield _pairs(out)
         if out := list(bucket()):
             yield _pairs(out)
 
-    shared = _buckets(classes).where(F.col("size") <= SMALL).select("key", "doc").join(classes.select("doc", "sig"), "doc")
-    return map_arrow(shared.repartition("key").sortWithinPartitions("key", "doc").select("key", "doc", "sig"), run, "a long, b long").distinct()
+    small = shared.where(F.col("size") <= SMALL).select("key", "node").join(classes.select("node", "sig", "n"), "node")
+    pairs = map_arrow(small.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig", "n"), run, "a long, b long")
+    stars = shared.where((F.col("size") > SMALL) & (F.col("least") < F.col("node"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(stars).distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -145,24 +155,36 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def group_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b: links that join what is linked in the groups of large buckets, by all pairs of each group."""
-    large = _buckets(classes).where(F.col("size") > SMALL)
-    member = components(large.select(F.col("doc").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
-    sizes = classes.groupBy("doc").agg(F.sum("n").alias("n"))
-    parts = member.join(sizes, "doc").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    member = written(member.join(parts, "label").select("doc", "label", "parts", F.expr("cast(pmod(xxhash64(doc), parts) as int)").alias("part")), "members")
-    found = member.count()
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), "text").join(F.broadcast(member) if found <= BROADCAST_ROWS else member, "doc")
+def _sets(docs: DataFrame, wanted: DataFrame, names: str) -> DataFrame:
+    """wanted (doc, h and ``names``, as a schema), a row each, with the shingles of these documents."""
+    few = wanted.count() <= BROADCAST_ROWS
+    columns = [x.split()[0] for x in names.split(", ")]
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), F.xxhash64("text").alias("h"), "text").join(F.broadcast(wanted) if few else wanted, ["doc", "h"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = shingles.shingle_sets(batch.column(4).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "label", "parts", "part", "shingles"])
+            made = shingles.shingle_sets(batch.column(len(columns)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([s.tobytes() for s in made], pa.binary())], [*columns, "shingles"])
+
+    # A row that is repeated gives its set again.
+    return written(map_arrow(texts.select(*columns, "text"), run, f"{names}, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def group_links(docs: DataFrame, classes: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) with a < b: links between components, by all pairs of each group of buckets.
 
-    made = written(map_arrow(texts.select("doc", "label", "parts", "part", "text"), sets, "doc long, label long, parts int, part int, shingles binary"), "sets")
-    tiles = made.select("label", "part", "doc", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("label", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc", "shingles")
+    mixed: (key, node, least, label) of large buckets, label being a node's component.
+    """
+    pairs = mixed.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    member = components(pairs).withColumnsRenamed({"doc": "node", "label": "group"})
+    member = written(member.join(classes.select("node", "doc", "h", "n"), "node").join(mixed.select("node", "label").distinct(), "node"), "members")
+    sizes = member.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    sizes = written(sizes.select("group", "size", F.ceil(F.greatest(F.col("size") / PART, F.col("n") / PART_SHINGLES)).cast("int").alias("parts")), "groups")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    member = joined(member, sizes, ["group"], "size", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    made = _sets(docs, written(member.select("doc", "h", "node", "group", "label", "parts", "part"), "wanted"), "node long, group long, label long, parts int, part int")
+    tiles = made.select("group", "part", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("group", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "label", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -172,45 +194,42 @@ def group_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if not all(sides):
                 return []
             (left, right), n = ([r[2] for r in s] for s in sides), [np.array([len(r[2]) for r in s], np.int64) for s in sides]
+            label = [np.array([r[1] for r in s], np.int64) for s in sides]
             both = common(left, right)
-            linked = (both > 0) & (100 * both >= percent * (n[0][:, None] + n[1] - both))
-            pairs = ((sides[0][i][1], sides[1][j][1]) for i, j in forest(linked))
-            return [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+            linked = (label[0][:, None] != label[1]) & (both > 0) & (100 * both >= percent * (n[0][:, None] + n[1] - both))
+            pairs = ((int(label[0][i]), int(label[1][j])) for i, j in forest(linked))
+            return sorted({(min(p), max(p)) for p in pairs})
 
         for batch in batches:
             out = []
-            for *k, part, doc, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *k, part, label, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     out += tile()
                     key, rows = k, []
-                rows.append((part, doc, np.frombuffer(s, np.uint64)))
+                rows.append((part, label, np.frombuffer(s, np.uint64)))
             if out:
                 yield _pairs(out)
         if out := tile():
             yield _pairs(out)
 
-    return map_arrow(tiles.repartition("label", "p", "q").sortWithinPartitions("label", "p", "q"), run, "a long, b long").distinct()
+    return map_arrow(tiles.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q"), run, "a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Those of edges (a, b) whose full sets are similar enough."""
-    ids = written(edges.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_ROWS
-    wanted = docs.select(F.coalesce("doc_id", F.lit(NULL)).alias("doc"), "text").join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shingles.shingle_sets(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "shingles"])
+    sides = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("b").alias("node"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("s")
+    ids = edges.select(sides).select("s.*").groupBy("node").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    wanted = written(ids.join(classes.select("node", "doc", "h"), "node").select("doc", "h", "node", "x", "y"), "ids")
+    made, total = _sets(docs, wanted, "node long, x long, y long"), wanted.agg(F.sum("x")).first()[0] or 0
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [shingles.similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = written(map_arrow(wanted, sets, "doc long, shingles binary"), "sets")
-    sides = edges.join(made.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a").join(made.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b")
-    return map_arrow(sides.select("a", "b", "x", "y"), verdicts, "a long, b long").distinct()
+    met = joined(edges, made.where("x > 0").select(F.col("node").alias("a"), "x", F.col("shingles").alias("s")), ["a"], "x", total)
+    met = joined(met, made.where("y > 0").select(F.col("node").alias("b"), "y", F.col("shingles").alias("t")), ["b"], "y", total)
+    return map_arrow(met.select("a", "b", "s", "t"), verdicts, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,15 +239,51 @@ def components(links: DataFrame) -> DataFrame:
     which halves what is left of a path.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = written(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("label")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("doc", F.least("doc", "m").alias("label"), "degree"), "labels")
+    ends, docs = labels.agg(F.coalesce(F.sum("degree"), F.lit(0)), F.count("*")).first()
     while True:
-        near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
-        best = labels.join(near, "doc").select("doc", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = best.select(F.col("doc").alias("label"), F.col("label").alias("next"))
-        new = written(best.join(jump, "label", "left").select("doc", "was", F.least("label", "next").alias("label")), "labels")
+        near = joined(both, labels.select(F.col("doc").alias("b"), "label", "degree"), ["b"], "degree", ends).groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
+        best = written(labels.join(near, "doc").select("doc", F.col("label").alias("was"), F.least("label", "m").alias("label"), "degree"), "best")
+        roots = best.groupBy("label").agg(F.count("*").alias("weight")).join(best.select(F.col("doc").alias("label"), F.col("label").alias("next")), "label")
+        new = joined(best, written(roots, "roots"), ["label"], "weight", docs, "left").select("doc", "was", F.least("label", "next").alias("label"), "degree")
+        new = written(new, "labels")
         if new.where("label <> was").limit(1).count() == 0:
             return new.select("doc", "label")
-        labels = new.select("doc", "label")
+        labels = new.select("doc", "label", "degree")
+
+
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc, none, h, n, component, first): of each row of docs, what BASE says, the smallest doc of its component, and whether the row is the first of it.
+
+    first is true for one document of each component: of rows that share its smallest
+    doc_id, those with one text.  Documents without words are components of their own.
+    """
+    base = written(based(docs), "base")
+    classes = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "h")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = classes.select("d1", "d2", "n", "copies", "first.doc", "first.h", "sig", "bands")
+    # A class is known by its smallest doc_id; where several have the same one, by a hash.
+    shared = written(classes.groupBy("doc").agg(F.count("*").alias("weight")).where("weight > 1"), "shared")
+    named = joined(classes, shared.withColumn("several", F.lit(True)), ["doc"], "weight", base.count(), "left")
+    classes = written(named.withColumn("node", F.when(F.col("several"), F.xxhash64("d1", "d2", "n", "doc")).otherwise(F.col("doc"))).drop("several"), "classes")
+
+    rows, total = buckets(classes)
+    edges = written(candidates(classes, rows, percent), "edges")
+    found = components(written(confirmed(docs, classes, edges, percent), "links"))
+    large = rows.where(F.col("size") > SMALL).join(found.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = written(large, "large")
+    mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("weight")).where("low <> high").select("key", "weight")
+    mixed = written(joined(large, written(mixed, "mixed"), ["key"], "weight", total), "rest")
+    more = components(written(group_links(docs, classes, mixed, percent), "more")).select(F.col("doc").alias("label"), F.col("label").alias("over"))
+
+    of_class = classes.select("d1", "d2", "n", "copies", "doc", "h", "node").join(found.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = written(of_class, "of_class")
+    labels = members.groupBy("label").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "h")).alias("own"))
+    labels = written(labels.join(more, "label", "left").withColumn("over", F.coalesce("over", "label")), "labels")
+    over = labels.groupBy("over").agg(F.min("own").alias("own"), F.count("*").alias("many"))
+    labels = joined(labels.select("label", "weight", "over"), written(over, "over"), ["over"], "many", labels.count()).select("label", "weight", "own")
+    of_class = joined(members, written(labels, "own"), ["label"], "weight", members.count()).select("d1", "d2", "n", "copies", "own")
+    out = joined(base.select("doc", "none", "h", "n", "d1", "d2"), written(of_class, "named"), ["d1", "d2", "n"], "copies", base.count(), "left")
+    return out.select("doc", "none", "h", "n", F.coalesce("own.doc", "doc").alias("component"), F.coalesce((F.col("doc") == F.col("own.doc")) & (F.col("h") == F.col("own.h")), F.lit(True)).alias("first"))
 
 
 def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -236,28 +291,32 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Links: 100 * |intersection| >= percent * |union| of the sets of 5-word shingles (one
     shingle of all words if there are fewer than five).  Null or empty text has an empty
-    set and links with nothing.  A null doc_id ranks after all others.  Rows that share
-    a doc_id are one document where links are concerned.  component_id is the smallest
-    doc_id of those linked, directly or not; kept is doc_id = component_id.  An empty
-    table gives no rows.
+    set and links with nothing.  A null doc_id ranks after all others, with 2^63 - 1.  Rows
+    that share a doc_id are linked each for its own text.  component_id is the smallest
+    doc_id of those linked, directly or not, null if none has one; kept is doc_id =
+    component_id.  An empty table gives no rows; other columns are not read.
     """
-    base = written(based(docs), "base")
-    classes = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    edges = written(candidates(classes, percent), "edges")
-    links = confirmed(docs, edges, percent).unionByName(group_links(docs, classes, percent))
-    found = components(written(links, "links"))
-    named = classes.select("d1", "d2", "n", F.col("doc").alias("first")).join(found.withColumnRenamed("doc", "first"), "first", "left")
-    named = named.select("d1", "d2", "n", F.coalesce("label", "first").alias("component"))
-    out = base.select("doc", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "doc"))
-    real = lambda c: F.when(F.col(c) != NULL, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    out = labelled(docs, percent)
+    return out.select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component") != NULL, F.col("component")).alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
 def deduped(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns."""
-    gone = grouped(docs, percent).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NULL)).alias("__doc")).distinct()
-    return docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL))).join(gone, "__doc", "left_anti").select(*docs.columns)
+    """One document of each component, the one with the smallest doc_id, with its own columns.
+
+    Documents without words all stay.  Of rows that share that doc_id the ones with one
+    text stay, and of rows that repeat both one.  Nothing else is dropped by doc_id: rows
+    with a shared or null one are judged each by its own text.
+    """
+    doc, h = unused(docs, "doc", "h")
+    rows = written(labelled(docs, percent).groupBy("doc", "h").agg(F.first("n").alias("n"), F.bool_or("first").alias("stays"), F.count("*").alias("copies")), "rows")
+    own = docs.withColumns({doc: F.coalesce("doc_id", F.lit(NULL)), h: F.xxhash64("text")})
+    names = [F.col("doc").alias(doc), F.col("h").alias(h)]
+    shown = [F.col(f"`{c}`") for c in docs.columns]
+    twice = rows.where("stays and copies > 1 and n > 0")
+    kept = own.join(rows.where("not stays or copies > 1 and n > 0").select(*names), [doc, h], "left_anti")
+    if twice.limit(1).count():
+        kept = kept.unionByName(own.join(twice.select(*names), [doc, h], "left_semi").dropDuplicates([doc, h]))
+    return kept.select(*shown)
 
 
 #: DuckDB SQL of grouped() over the table documents.

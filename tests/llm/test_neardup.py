@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,6 +69,46 @@ def test_equals_brute_force(spark):
     assert neardup.grouped(df.where("false")).collect() == []
 
 
+def test_shared_ids_lose_nothing(spark):
+    copy, other, third = "a b c d e f g h", "quite another text with seven words", "and a third one of seven words"
+    rows = [(1, copy), (None, copy), (5, copy), (None, other), (5, other), (5, third), (5, third), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame([(*x, "mine", "own", 3) for x in rows], "doc_id long, text string, __doc string, Doc string, h long")
+    kept = neardup.deduped(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id if r.doc_id is not None else 99, r.text, r["__doc"], r["Doc"], r.h) for r in kept.where("text <> ''").collect())
+    assert got == sorted((d, t, "mine", "own", 3) for d, t in [(1, copy), (5, other), (5, third)])
+    assert kept.where("text is null or text = ''").count() == 3
+    found = sorted(((r.doc_id, r.component_id) for r in neardup.grouped(df).collect()), key=str)
+    assert found == sorted([(1, 1), (None, 1), (5, 1), (None, 5), (5, 5), (5, 5), (5, 5), (None, None), (7, 7), (7, 7)], key=str)
+
+
+def test_a_star_of_one_component_is_not_compared_again(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words, *(f"v{i}x{j}" for j in range(r.randint(0, 8)))])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "common", None)  # no tile is made
+    assert {x.component_id for x in neardup.grouped(df).collect()} == {0}
+
+
+@pytest.mark.parametrize(("size", "pairs"), [(18, 400), (40, 400), (120, 400), (2000, 150)])
+def test_recall_of_candidates_at_the_threshold(size, pairs):
+    """Of pairs just at 0.85 and above, all share a band and pass the estimate."""
+    r = np.random.default_rng(size)
+    missed = 0
+    for _ in range(pairs):
+        union = np.unique(r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, size, dtype=np.uint64))
+        differ = int(0.15 * len(union))
+        order = r.permutation(len(union))
+        a, b = np.sort(union[order[: len(union) - differ // 2]]), np.sort(union[order[differ - differ // 2 :]])
+        assert shingles.similar(a, b, 85)
+        sig = shingles.signatures([a, b])
+        keys, brief = shingles.band_keys(sig), shingles.short(sig)
+        margin = neardup.MARGIN_FEW if max(len(a), len(b)) < neardup.FEW else neardup.MARGIN
+        missed += not ((keys[0] == keys[1]).any() and (brief[0] == brief[1]).mean() >= 0.85 - margin)
+    assert missed <= pairs // 200
+
+
 def template(documents, pairs, fillings=20, same=5, words=1000):
     """Documents of one template, all at 0.82 to each other, and pairs among them at 0.86."""
     out = []
