@@ -48,6 +48,10 @@ def _removed(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, chars, ""))
 
 
+def _hashed(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with measures in columns named __q_*; the text is split once."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -57,17 +61,27 @@ def measured(docs: DataFrame) -> DataFrame:
     q = q.withColumns({_P + "words": F.size(w).cast("long"), _P + "bits": F.length(F.bin(F.size(w)))})
     # Hashes of the three-word windows with their places in the low bits: equal windows become neighbours in one sort of longs.
     bits, n = F.col(_P + "bits"), F.col(_P + "words").cast("int")
-    hashed = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    hashed = F.transform(w, lambda x, i: _hashed(x, F.get(w, i + 1), F.get(w, i + 2)))
     q = q.withColumn(_P + "h", F.when(n > 2, F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<long>")))
     packed = F.transform(F.col(_P + "h"), lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
     q = q.withColumn(_P + "s", F.sort_array(packed))
     s = F.col(_P + "s")
     q = q.withColumn(_P + "t", F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))))
-    same = F.zip_with(s, F.col(_P + "t"), lambda a, b: F.coalesce(F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits), F.lit(False)))
-    q = q.withColumn(_P + "e", same)
     place = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    marked = lambda a: F.filter(F.zip_with(a, F.col(_P + "e"), lambda x, e: F.when(e, x.bitwiseAND(place)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0)
-    q = q.withColumn(_P + "m", F.array_union(marked(s), marked(F.col(_P + "t"))))
+
+    def compared(a: Column, b: Column) -> Column:
+        """0: hashes differ; 1: the words are the same; 2: only the hashes are."""
+        i, j = (x.bitwiseAND(place).cast("int") for x in (a, b))
+        same = (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+        equal = F.coalesce(F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits), F.lit(False))
+        return F.when(~equal, F.lit(0)).when(same, F.lit(1)).otherwise(F.lit(2))
+
+    q = q.withColumn(_P + "e", F.zip_with(s, F.col(_P + "t"), compared))
+    marked = lambda a: F.filter(F.zip_with(a, F.col(_P + "e"), lambda x, e: F.when(e == 1, x.bitwiseAND(place)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0)
+    # Where two different windows have one hash, which only very long texts can see, their words are sorted instead.
+    full = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("i"))))
+    pairs = F.transform(F.array(full), lambda f: F.flatten(F.zip_with(f, F.slice(f, F.lit(2), F.size(f)), lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<long>")))))[0]
+    q = q.withColumn(_P + "m", F.when(F.array_contains(_P + "e", 2), F.array_distinct(pairs)).otherwise(F.array_union(marked(s), marked(F.col(_P + "t")))))
     m = F.col(_P + "m")
     q = q.withColumns({
         _P + "word_chars": F.length(F.array_join(w, "")).cast("long"),
@@ -143,15 +157,18 @@ def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     """docs (doc_id, text and any others) with __q_* columns: measures, __q_quality and __q_kept.
 
     Null or empty text has no words and fails the base rules.  Rows are judged each for
-    itself, whatever their doc_id.  An empty table gives no rows.  Two windows count
-    as equal by 64 bits less those of a place in the text.
+    itself, whatever their doc_id, also when they are repeated; a posterior of just
+    ``keep`` keeps.  An empty table gives no rows.  Other columns stay as they are; those of
+    the same names are replaced.
     """
     return rated(written(voted(measured(docs)), "judged"), keep)
 
 
 def filtered(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judged(docs, keep).where(_P + "kept").select(*docs.columns)
+    """The documents that are kept, with their own columns, whatever their names."""
+    own = {c: f"own{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith(_P)}
+    kept = judged(docs.withColumnsRenamed(own), keep).where(_P + "kept")
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, keep: float = 0.5) -> DataFrame:

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from glossweave.llm import quality
 from glossweave.llm.quality import filtered, report
 
 
@@ -50,3 +53,26 @@ def test_votes_find_what_is_bad(spark):
 def test_clean_corpus_is_kept(spark):
     good = prose(60)
     assert filtered(frame(spark, good)).count() == 60
+
+
+def test_own_columns_of_any_name_stay(spark):
+    rows = [(i, t, "mine", 5) for i, t in enumerate(prose(20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __q_words string, __q_kept int")
+    assert sorted(tuple(r) for r in filtered(df).collect()) == rows
+
+
+def test_windows_are_compared_by_their_words(spark, monkeypatch):
+    """With hashes of two bits nearly all windows have the hash of another one."""
+    monkeypatch.setattr(quality, "_hashed", lambda *words: F.xxhash64(*words).bitwiseAND(3))
+    for r in report(frame(spark, TEXTS[:12])).collect():
+        t = TEXTS[r.doc_id if r.doc_id is not None else 3]
+        assert r.n_repeat_words == brute(t)[4]
+
+
+def test_posterior_of_votes(spark):
+    """Ties and repeated rows are judged alike; an empty text is rejected."""
+    df = frame(spark, prose(30) + [None, "", GOOD, GOOD])
+    verdicts = {}
+    for r in report(df).collect():
+        assert verdicts.setdefault((r.n_words, r.word_chars, r.n_symbols), r.kept) == r.kept
+    assert not verdicts[0, 0, 0]
