@@ -1,17 +1,21 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 A window is ``size`` consecutive words of a benchmark item, or the whole item if it is
-shorter.  A document that holds a window holds its rarest word, so that word, the
-window's prefix, is all that has to be joined:
-
-1. the words of all windows are counted over all documents, and each window's words
-   are ordered by rarity; the first is its prefix;
-2. documents' words meet the prefixes; a place is a candidate if the window, shifted
-   so that the words agree, lies inside the document (positional and length bounds);
-3. candidates return to their document, and each window is compared word by word.
-
-Only DataFrame expressions are used.  The benchmark is broadcast if it has at most
-``BROADCAST_ROWS`` words; beyond that the joins shuffle.
+shorter.  Its tokens are its shingles of SHINGLE words (of all its words, if it has
+fewer).  A document that holds a window holds all of them, so the rarest one is a
+sufficient prefix, and all that has to be joined:
+
+1. the shingles of all windows are counted over all documents, and each window's
+   shingles are ordered by rarity; the first is its prefix;
+2. documents' shingles meet the prefixes; a place is a candidate if the window, shifted
+   so that the shingles agree, lies inside the document (positional and length bounds);
+3. candidates return to their document, and each window is compared word by word, so
+   shingles may travel as hashes.
+
+Only DataFrame expressions are used.  The words of the benchmark are broadcast if there
+are at most ``BROADCAST_ROWS`` of them in all windows; beyond that the joins shuffle.
+Items never travel with candidates: what a document hits is known by window, and the
+items of a window are looked up for hits alone.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import ascii_lower, written
+from glossweave.functions.names import unused
+from glossweave.llm.common import ascii_lower, joined, written
 
 #: Fixed value: what separates words once A-Z are lower case.
 APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+SHINGLE = 3
 BROADCAST_ROWS = 500_000
-#: Stands for a null doc_id in joins.
+#: Stands for a null doc_id in joins, which a hash of the text joins too: rows that agree in both hold the same windows.
 NULL = -(1 << 63)
 
 
@@ -32,72 +38,95 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), APART), "")
 
 
-def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(win: array of words, items: array of item_id), each window once."""
+def windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(id, win: array of words), each window once, and (id, items: array of item_id as strings)."""
     w = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("at"))
-    return w.groupBy(F.slice("w", F.col("at"), F.lit(size)).alias("win")).agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    rows = w.groupBy(F.slice("w", F.col("at"), F.lit(size)).alias("win")).agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "windows")
+    return rows.select("id", "win"), rows.select("id", "items")
+
+
+def _shingles(w: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words; the array around w binds it."""
+    def run(a: Column, i: Column) -> Column:
+        return F.xxhash64(F.lit(size), *(F.get(a, i + k) for k in range(size)))
 
+    return F.transform(F.array(w), lambda a: F.when(F.size(a) >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - size, F.lit(0))), lambda i: run(a, i))).otherwise(F.array().cast("array<long>")))[0]
 
-def prefixes(docs: DataFrame, wins: DataFrame, small) -> DataFrame:
-    """(word, offset, length, win, items): each window at its rarest word."""
-    own = wins.select(F.explode("win").alias("word")).distinct()
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word")).join(small(own), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    ranked = wins.select("win", "items", F.posexplode("win").alias("offset", "word")).join(small(seen), "word", "left")
-    first = F.struct(F.coalesce("n", F.lit(0)), "word", "offset")
-    best = ranked.groupBy("win", "items").agg(F.min(first).alias("first"))
-    # A window with a word that no document has is in none.
-    return best.where("first.col1 > 0").select("first.word", "first.offset", F.size("win").alias("length"), "win", "items")
 
+def _sized(wins: DataFrame) -> list[int]:
+    """The sizes of shingles that windows have: at most SHINGLE of them."""
+    return sorted(r[0] for r in wins.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect())
 
-def _keys(docs: DataFrame) -> tuple[Column, Column]:
-    """A row's identity: rows with the same doc_id and text have the same windows."""
-    return F.coalesce(F.col("doc_id"), F.lit(NULL)).alias("__k"), F.xxhash64("text").alias("__h")
 
+def prefixes(docs: DataFrame, wins: DataFrame, sizes: list[int], small) -> DataFrame:
+    """(token, offset, length, id, win): each window at its rarest shingle."""
+    own = F.coalesce(*(F.when(F.least(F.size("win"), F.lit(SHINGLE)) == s, _shingles(F.col("win"), s)) for s in sizes))
+    ranked = written(wins.select("id", F.posexplode(own).alias("offset", "token")), "shingles")
+    every = F.concat(*(_shingles(words(F.col("text")), s) for s in sizes))
+    seen = docs.select(F.explode(every).alias("token")).join(small(ranked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # A window with a shingle that no document has is in none.
+    best = ranked.join(small(written(seen, "seen")), "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("first"))
+    return best.where("first.n > 0").join(wins, "id").select("first.token", "first.offset", F.size("win").alias("length"), "id", "win")
 
-def matched(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """docs (doc_id, text and any others) with __n_words, __n_hit and __items (sorted strings).
 
-    Null or empty text has no words.  Null or empty items have no windows; a null item_id
-    is "".  Rows with the same doc_id are matched each for itself.  Empty tables match
+def matched(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs (doc_id, text and any others) with four more columns, the items of windows, and the names of the columns.
+
+    The columns are n_words, n_hit, hits (ids of windows, sorted) and contaminated, with
+    underscores behind them where docs has such columns.  Null or empty text has no
+    words.  Null or empty items have no windows; a null item_id is "".  Rows with the same
+    doc_id, and rows that are repeated, are matched each for itself.  Empty tables match
     nothing.
     """
-    wins = written(windows(benchmark, size), "windows")
+    wins, items = windows(benchmark, size)
+    sizes = _sized(wins) or [SHINGLE]
     fits = (wins.agg(F.sum(F.size("win"))).first()[0] or 0) <= BROADCAST_ROWS
     small = F.broadcast if fits else (lambda df: df)
-    prefix = written(prefixes(docs, wins, small), "prefixes")
-
-    placed = docs.select(*_keys(docs), words(F.col("text")).alias("w"))
-    placed = placed.select("__k", "__h", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-    found = placed.join(small(prefix), "word").withColumn("start", F.col("at") - F.col("offset"))
+    prefix = written(prefixes(docs, wins, sizes, small), "prefixes")
+
+    key = F.coalesce(F.col("doc_id"), F.lit(NULL)), F.xxhash64("text")
+    placed = None
+    for s in sizes:
+        own = docs.select(key[0].alias("k"), key[1].alias("h"), words(F.col("text")).alias("w"))
+        own = own.select("k", "h", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), s)).alias("at", "token"))
+        placed = own if placed is None else placed.unionByName(own)
+    found = placed.join(small(prefix), "token").withColumn("start", F.col("at") - F.col("offset"))
     found = found.where("start >= 0 and start + length <= n")
-    candidates = found.groupBy("__k", "__h").agg(F.collect_set(F.struct("start", "length", "win", "items")).alias("__c"))
-
-    k, h = _keys(docs)
-    both = docs.withColumns({"__k": k, "__h": h}).join(candidates, ["__k", "__h"], "left")
-    both = both.withColumn("__w", words(F.col("text")))
-    hits = F.filter("__c", lambda c: F.slice("__w", c["start"] + 1, c["length"]) == c["win"])
-    both = both.withColumns({"__n_words": F.size("__w").cast("long"), "__hits": F.coalesce(hits, F.array())})
-    places = F.flatten(F.transform("__hits", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda c: c["items"]))))
-    found = F.struct(F.col("__n_words"), F.size(F.array_distinct(places)).cast("long").alias("__n_hit"), items.alias("__items"))
+    candidates = found.groupBy("k", "h").agg(F.collect_set(F.struct("start", "length", "win", "id")).alias("c"))
+
+    k, h, c, w, out, *names = unused(docs, "k", "h", "c", "w", "found", "n_words", "n_hit", "hits", "contaminated")
+    both = docs.withColumns({k: key[0], h: key[1]}).join(candidates.select(F.col("k").alias(k), F.col("h").alias(h), F.col("c").alias(c)), [k, h], "left")
+    both = both.withColumn(w, words(F.col("text")))
+    true = F.coalesce(F.filter(c, lambda x: F.slice(w, x["start"] + 1, x["length"]) == x["win"]), F.array())
+    both = both.withColumn(c, true)
+    places = F.flatten(F.transform(c, lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
+    n_words, n_hit = F.size(w).cast("long"), F.size(F.array_distinct(places)).cast("long")
+    told = F.struct(n_words.alias("a"), n_hit.alias("b"), F.array_sort(F.array_distinct(F.transform(c, lambda x: x["id"]))).alias("c"))
     # explode() of one element keeps filters on the result above it: pushed below, they would split the text for each candidate.
-    return both.select(*docs.columns, F.explode(F.array(found)).alias("__found")).select(*docs.columns, "__found.*")
-
-
-def contaminated() -> Column:
-    return (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
+    shown = [F.col(f"`{x}`") for x in docs.columns]
+    both = both.select(*shown, F.explode(F.array(told)).alias(out))
+    bad = (F.col(out)["b"] > 0) & (20 * F.col(out)["b"] >= F.col(out)["a"])
+    return both.select(*shown, *(F.col(out)[x].alias(n) for x, n in zip("abc", names, strict=False)), bad.alias(names[3])), items, names
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """One row per document: words, words hit, items with occurring windows, and the verdict."""
-    m = matched(docs.select("doc_id", "text"), benchmark, size)
-    return m.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    m, items, _ = matched(docs.select("doc_id", "text"), benchmark, size)
+    m = written(m.withColumn("h", F.xxhash64("text")).drop("text"), "matched")
+    hits = m.where("n_hit > 0").select("doc_id", "h", F.explode("hits").alias("id")).distinct()
+    often = written(hits.groupBy("id").agg(F.count("*").alias("n")).join(items, "id"), "often")
+    named = joined(hits, often, ["id"], "n", often.agg(F.sum("n")).first()[0] or 0).select("doc_id", "h", F.explode("items").alias("item"))
+    named = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumnsRenamed({"doc_id": "o_doc", "h": "o_h"})
+    out = m.join(named, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_doc")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return matched(docs, benchmark, size).where(~contaminated()).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns; what matched() says holds."""
+    m, _, names = matched(docs, benchmark, size)
+    return m.where(~F.col(names[3])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: DuckDB SQL of report() over the tables documents and benchmark.

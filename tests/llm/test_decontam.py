@@ -40,3 +40,21 @@ def test_equals_brute_force(spark, monkeypatch, limit):
     assert kept.count() == sum(not brute(t, items, 4)[-1] for _, t in docs)
     assert decontam.report(df, b.where("false"), 4).where("n_hit > 0 or contaminated").count() == 0
     assert decontam.report(df.where("false"), b, 4).count() == 0
+
+
+def test_own_columns_stay(spark):
+    names = "doc_id long, text string, __k string, __c string, found string, k string, H string, n_hit string, hits string"
+    df = spark.createDataFrame([(1, "one two three", *"abcdefg"), (2, "clean text of other words", *"abcdefg")], names)
+    b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.cleaned(df, b).collect()] == [(2, "clean text of other words", *"abcdefg")]
+    m, _, added = decontam.matched(df, b)
+    assert added == ["n_words", "n_hit_", "hits_", "contaminated"]
+    assert m.columns == [*df.columns, *added]
+
+
+def test_a_window_in_many_items_and_documents(spark):
+    docs = spark.createDataFrame([(i, f"u{i} v{i} some shared words of a passage x{i}") for i in range(600)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, "some shared words of a passage") for i in range(50)], "item_id long, text string")
+    got = decontam.report(docs, b).collect()
+    assert {(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {(9, 6, 50, True)}
+    assert len(got) == 600
