@@ -4,10 +4,10 @@ Every document becomes token ids with an end id.  Whole windows are cut from its
 what is left is a tail.  Tails are gathered until they fill ``group`` windows but for
 ``slack`` ids each, and differencing deals them out: partial partitions are merged, the
 most unequal two first, the largest sums of one onto the smallest of the other, which
-leaves windows of nearly the same length.  If a window goes over the capacity, tails
-longer than half a window are cut and the group is dealt out again, then those longer
-than a quarter, then those longer than ``part``; pieces are of unlike lengths, since
-differencing balances those best.  If even that goes over, the number of windows rises.
+leaves windows of nearly the same length.  Tails longer than a quarter of a window are cut
+for that; if a window goes over the capacity, those longer than ``part`` are cut too, and
+the group is dealt out again.  Pieces are of unlike lengths, since differencing balances
+those best.  If even that goes over, the number of windows rises.
 
 The end of a partition is dealt out in the same way, into as many windows as it fills;
 less than a window is left then, and is cut at powers of two, so it needs no padding.
@@ -95,7 +95,7 @@ class Packer:
         if capacity < 1 or group < 1 or not 0 <= slack < capacity:
             raise ValueError("capacity and group must be positive, and slack less than capacity")
         self.capacity, self.group, self.slack, self.full = capacity, group, slack, group * (capacity - slack)
-        self.levels = sorted({capacity, max(1, capacity // 2), max(1, capacity // 4), max(1, min(part, capacity))}, reverse=True)
+        self.levels = sorted({max(1, capacity // 4), max(1, min(part, capacity))}, reverse=True)
         self.tails: list[Piece] = []
         self.held = self.sequence = 0
 
