@@ -6,7 +6,9 @@ A capture is judged by the rules for its host and each parent domain whose inter
 holds its fetch time: an as-of join of captures and entries.
 
 Hosts and times are judged once each, before they meet the captures again, so a host
-with a third of all captures costs the rule join one row per time.
+with a third of all captures costs the rule join one row per time.  Of a host's parent
+domains only those that are rules are joined, and hot rules ("com") and hot hosts are
+dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: no name in the domain system is longer.
-LONGEST_HOST = 253
+from glossweave.functions.names import unused
+from glossweave.llm.common import joined, written
+
+#: What a host is behind the scheme and the user: an address in brackets, or a name.
+HOST = r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]\s]+)"
 
 
 def host_of(url: Column) -> Column:
     """The lower-case host without port, user and final dot; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)", 1))
-    host = F.regexp_replace(host, r"\.$", "")
-    return F.when((host != "") & (F.length(host) <= LONGEST_HOST), host)
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+    return F.when(host != "", host)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -47,16 +51,28 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     without a host and a null fetch time match no rule.  Each row stands for itself.
     Empty tables block nothing.  Columns of these four names are replaced.
     """
-    own = [c for c in captures.columns if c not in ("host", "n_active", "rules", "blocked")]
-    c = captures.select(*own, host_of(F.col("url")).alias("host"))
-    asked = c.where("host is not null and fetched is not null").select("host", "fetched").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\."))), "."))
+    own = [c for c in captures.columns if c.lower() not in ("host", "n_active", "rules", "blocked")]
+    shown = [F.col(f"`{c}`") for c in own]
+    c = captures.select(*shown, host_of(F.col("url")).alias("host"))
+    known = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    asked = written(c.where(known).groupBy("host", "fetched").agg(F.count("*").alias("captures")), "asked")
+    spans = intervals(entries).groupBy("rule").agg(F.collect_list(F.struct("from", "until")).alias("spans"))
+    spans = written(spans, "spans")
+    # No parent domain of more labels than the longest rule has can be a rule.
+    longest = spans.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 0
+    labels = F.slice(F.split("host", r"\."), F.greatest(-F.size(F.split("host", r"\.")), F.lit(-max(1, longest))), F.lit(max(1, longest)))
+    suffixes = F.transform(F.array(labels), lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))[0]
     keyed = asked.select("host", "fetched", F.explode(suffixes).alias("rule"))
-    held = keyed.join(intervals(entries), "rule").where("fetched >= from and (until is null or fetched < until)")
+    often = written(keyed.groupBy("rule").agg(F.count("*").alias("n")).join(spans, "rule"), "rules")
+    held = joined(keyed, often, ["rule"], "n", often.agg(F.sum("n")).first()[0] or 0)
+    held = held.where(F.exists("spans", lambda x: (F.col("fetched") >= x["from"]) & (x["until"].isNull() | (F.col("fetched") < x["until"]))))
     verdicts = held.groupBy("host", "fetched").agg(F.array_sort(F.collect_set("rule")).alias("found"))
-    out = c.join(verdicts, ["host", "fetched"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    return out.select(*own, "host", F.size("found").cast("long").alias("n_active"), F.array_join("found", ",").alias("rules"), (F.size("found") > 0).alias("blocked"))
+    verdicts = written(verdicts.join(asked, ["host", "fetched"]), "verdicts")
+    (found,) = unused(c, "found")
+    out = joined(c.where(known), verdicts.withColumnRenamed("found", found), ["host", "fetched"], "captures", asked.agg(F.sum("captures")).first()[0] or 0, "left")
+    none = F.array().cast("array<string>")
+    out = out.unionByName(c.where(~known).withColumn(found, none)).withColumn(found, F.coalesce(found, none))
+    return out.select(*shown, "host", F.size(found).cast("long").alias("n_active"), F.array_join(found, ",").alias("rules"), (F.size(found) > 0).alias("blocked"))
 
 
 def dated_pages(pages: DataFrame) -> DataFrame:
@@ -83,7 +99,7 @@ def report(pages: DataFrame) -> DataFrame:
 
 #: DuckDB SQL of report() over the table pages.
 SQL = r"""
-with c as (select page_id, url, date '2024-01-01' + cast(page_id % 365 as int) as fetched, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)', 1)), '\.$', ''), '') as host from pages),
+with c as (select page_id, url, date '2024-01-01' + cast(page_id % 365 as int) as fetched, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]\s]+)', 1)), '\.$', ''), '') as host from pages),
 names as (select host as rule from c where host is not null union select regexp_extract(host, '([^.]+\.[^.]+)$', 1) from c where host like '%.%'),
 d as (select rule, md5(rule) as m, cast(('0x' || substring(md5(rule), 1, 4)) as int) % 365 as day from names where rule <> ''),
 e as (select rule, 'add' as action, date '2024-01-01' + day as at from d where substring(m, 5, 1) < '8'
