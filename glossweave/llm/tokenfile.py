@@ -41,7 +41,9 @@ MEMO = 600_000
 SHARD_ROWS = 1000
 #: Places of documents in shards travel to the shards up to this size, beyond it both meet in a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: A null doc_id is stored as this key and comes first.
+#: Shards whose sums of ids are added up in one task.
+BLOCK = 4096
+#: A null doc_id is stored as this key and comes first; a doc_id of this value is the same as null.
 NULL = -(1 << 63)
 
 
@@ -133,29 +135,55 @@ def look_up(index: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
     return _bucketed(keys, buckets).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(found, "key long, nth long, shard long, first long, n long")
 
 
-def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """(key, shard, first, n) to (key, shard, first, n, ids_crc32): reads each id range out of its shard.
+def fetch(spark: SparkSession, path: str, places: DataFrame, with_ids: bool = False) -> DataFrame:
+    """(key, nth, shard, first, n) to (key, nth, shard, first, n, ids_crc32), or with ids instead of ids_crc32: reads each id range out of its shard.
 
-    A range outside the key's own one in the shard's directory is an error: fingerprints
-    let a key pass that was never stored, with a chance of 2**-32.
+    A place that isn't its key's own one in the shard's directory gives no row: it belongs
+    to a key that was never stored, which a fingerprint lets pass with a chance of 2**-32.
     """
+    kinds = "key long, nth long, shard long, first long, n long, " + ("ids array<long>" if with_ids else "ids_crc32 long")
+    names = [x.split()[0] for x in kinds.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, cells in zip(batch.column(0), batch.column(1), strict=True):
-                content, (key, first, n) = content.as_py(), (cells.values.field(i).to_numpy() for i in range(3))
+                content, (key, nth, first, n) = content.as_py(), (cells.values.field(i).to_numpy() for i in range(4))
                 shard, width, entries, base = parse(content)
                 firsts = np.cumsum(entries["n"]).astype(np.int64) - entries["n"].astype(np.int64)
-                if not (entries["key"][np.searchsorted(firsts, first)] == key).all():
-                    raise ValueError("the index and the shards differ")
-                crc = [zlib.crc32(np.frombuffer(content, f"<u{width}", m, base + width * a).astype("<u4").tobytes()) for a, m in zip(first, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, np.full(len(key), shard), first, n, crc)], ["key", "shard", "first", "n", "ids_crc32"])
-
-    wanted = written(places.groupBy("shard").agg(F.collect_list(F.struct("key", "first", "n")).alias("cells")), "places")
-    small = (wanted.agg(F.sum(F.size("cells"))).first()[0] or 0) * 24 <= BROADCAST_BYTES
+                at = np.minimum(np.searchsorted(firsts, first), len(entries) - 1)
+                own = (entries["key"][at] == key) & (firsts[at] == first) & (entries["n"][at].astype(np.int64) == n)
+                key, nth, first, n = (x[own] for x in (key, nth, first, n))
+                ids = (np.frombuffer(content, f"<u{width}", m, base + width * a).astype("<u4") for a, m in zip(first, n, strict=True))
+                last = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())) if with_ids else pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, nth, np.full(len(key), shard), first, n)), last], names)
+
+    wanted = written(places.groupBy("shard").agg(F.collect_list(F.struct("key", "nth", "first", "n")).alias("cells")), "places")
+    small = (wanted.agg(F.sum(F.size("cells"))).first()[0] or 0) * 32 <= BROADCAST_BYTES
     shards = read_files(spark, path).withColumn("shard", F.conv(F.hex(F.substring("content", 13, 4)), 16, 10).cast("long"))
     met = shards.join(F.broadcast(wanted) if small else wanted, "shard").select("content", "cells")
-    return map_arrow(met, read, "key long, shard long, first long, n long, ids_crc32 long")
+    return map_arrow(met, read, kinds)
+
+
+def before(totals: DataFrame) -> DataFrame:
+    """(shard, before): ids of all shards before each, from (shard, ids); sums of blocks first, then within blocks."""
+    t = totals.withColumn("block", F.floor(F.col("shard") / BLOCK))
+    sums = "coalesce(sum(ids) over ({} rows between unbounded preceding and 1 preceding), 0)"
+    blocks = t.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", F.expr(sums.format("order by block")).alias("base"))
+    own = t.select("shard", "block", F.expr(sums.format("partition by block order by shard")).alias("own"))
+    return own.join(blocks, "block").select("shard", (F.col("base") + F.col("own")).alias("before"))
+
+
+def get(spark: SparkSession, path: str, index: DataFrame, buckets: int, keys: DataFrame) -> DataFrame:
+    """(doc_id, nth, ids) of keys (doc_id, and nth among the rows that share it, 0 if it isn't there): the raw ids of each document that is stored.
+
+    A key that was never stored gives no row: its fingerprint differs, or, with a chance of
+    2**-32, the directory of the shard says so.
+    """
+    nth = F.col("nth").cast("long") if "nth" in keys.columns else F.lit(0).cast("long")
+    wanted = keys.select(F.coalesce("doc_id", F.lit(NULL)).alias("key"), nth.alias("nth")).distinct()
+    places = look_up(index, wanted, buckets)
+    found = fetch(spark, path, places, with_ids=True)
+    return found.select(F.when(F.col("key") != F.lit(NULL), F.col("key")).alias("doc_id"), "nth", "ids")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, width: int = 2, shard_bytes: int = 3 << 20) -> DataFrame:
@@ -172,5 +200,4 @@ def write_and_read(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id:
     index, totals, buckets = build_index(spark, path)
     keys = docs.groupBy(F.coalesce("doc_id", F.lit(NULL)).alias("key")).agg(F.count("*").alias("copies")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
     rows = fetch(spark, path, look_up(index, keys, buckets))
-    totals = totals.select("shard", F.expr("coalesce(sum(ids) over (order by shard rows between unbounded preceding and 1 preceding), 0)").alias("before"))
-    return rows.join(totals, "shard").select(F.when(F.col("key") != F.lit(NULL), F.col("key")).alias("doc_id"), (F.col("before") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
+    return rows.join(before(totals), "shard").select(F.when(F.col("key") != F.lit(NULL), F.col("key")).alias("doc_id"), (F.col("before") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
