@@ -2,15 +2,13 @@
 
 It reads the whole sequence of blocks from both ends.  It is trained here, on pages that
 ``example`` makes from a seed, with labels that follow from how a page is put together.
+The weights lie beside this file; ``python -m glossweave.llm.block_labeller`` trains them
+anew and writes them there.
 """
 
 from __future__ import annotations
 
-import os
-import pickle
 import random
-import subprocess
-import sys
 from functools import lru_cache
 from pathlib import Path
 
@@ -220,14 +218,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+STORED = Path(__file__).with_suffix(".npz")
+
+
 @lru_cache(maxsize=1)
-def trained(seed: int = 1) -> dict[str, np.ndarray]:
-    """fit() in a process of its own with one thread: these matrices are too small for more."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = os.environ | dict.fromkeys(("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"), "1")
-    env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [env.get("PYTHONPATH")])])
-    run = f"import pickle, sys; from glossweave.llm.block_labeller import fit; pickle.dump(fit({seed}), sys.stdout.buffer)"
-    return pickle.loads(subprocess.run([sys.executable, "-c", run], env=env, stdout=subprocess.PIPE, check=True).stdout)
+def trained() -> dict[str, np.ndarray]:
+    """The stored weights."""
+    with np.load(STORED) as f:
+        return {k: f[k].astype(np.float32) for k in f.files}
 
 
 def fit(seed: int) -> dict[str, np.ndarray]:
@@ -271,3 +269,7 @@ def label(w: dict, pages: list[np.ndarray], cells: int = 20_000) -> list[np.ndar
         for j, i in enumerate(part):
             out[i] = p[: len(pages[i]), j] >= 0.5
     return out
+
+
+if __name__ == "__main__":
+    np.savez_compressed(STORED, **fit(1))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,10 +43,11 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("names", "parent", "path", "tag")
+    __slots__ = ("block", "names", "parent", "path", "tag")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: _Element | None):
         self.tag, self.names, self.parent, self.path = tag, names, parent, None
+        self.block = parent.block if tag in INLINE and parent is not None else self
 
     def vector(self) -> np.ndarray:
         todo, e = [], self
@@ -62,14 +64,14 @@ class _Element:
         return v
 
     def near(self) -> np.ndarray:
-        v, e, n = np.zeros(NEAR, np.float32), self, 0
-        while e is not None and n < NEAREST:
-            if e.tag not in INLINE:
-                for name in e.names:
-                    h = zlib.crc32(b"near" + name.encode())
-                    v[h % NEAR] += (1.0 if h & 0x10000 else -1.0) * (NEAREST - n) / NEAREST
-                n += 1
-            e = e.parent
+        v, e = np.zeros(NEAR, np.float32), self.block
+        for n in range(NEAREST):
+            for name in e.names:
+                h = zlib.crc32(b"near" + name.encode())
+                v[h % NEAR] += (1.0 if h & 0x10000 else -1.0) * (NEAREST - n) / NEAREST
+            if e.parent is None:
+                break
+            e = e.parent.block
         return v
 
 
@@ -94,6 +96,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[_Element] = [_Element("", (), None)]
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
     at: _Element | None = None
     links = in_link = pos = 0
@@ -121,11 +124,12 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(e.tag == tag for e in stack):
+            if is_open[tag]:
                 if tag not in INLINE:
                     flush()
                 while True:
                     gone = stack.pop().tag
+                    is_open[gone] -= 1
                     in_link -= gone == "a"
                     if gone == tag:
                         break
@@ -149,12 +153,14 @@ def blocks(page: str | None) -> list[Block]:
             for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                 if stack[i].tag in closes:
                     in_link -= sum(e.tag == "a" for e in stack[i:])
+                    is_open.subtract(e.tag for e in stack[i:])
                     del stack[i:]
                     break
                 if stack[i].tag not in INLINE and stack[i].tag not in ("li", "td", "th", "dd", "dt"):
                     break
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(_Element(tag, _names(tag, m[3]), stack[-1]))
+            is_open[tag] += 1
             in_link += tag == "a"
     flush()
     return out

@@ -19,7 +19,8 @@ def extracted(pages: DataFrame, part: int = 200) -> DataFrame:
 
     Kept blocks are joined by line feeds in page order.  Null or empty html, and pages
     without main text, give the empty text.  Each row stands for itself; nulls in
-    page_id and url stay.  An empty table gives no rows; other columns are not read.
+    page_id and url stay.  An empty table gives no rows; other columns are not read.  A
+    <br> ends a block, as a reader sees it.
     """
     weights = block_labeller.trained()
 
