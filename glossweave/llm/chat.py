@@ -169,3 +169,18 @@ def read_back(formatted: DataFrame, trained: str = "assistant") -> DataFrame:
 
     order = ["conv_id", "turn", "role", "text"]
     return formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted").mapInPandas(run, SUMMARY)
+
+
+#: DuckDB SQL of read_back(format_turns()) over the table conversations and conversation -7, for roles of small letters.
+SQL = r"""
+with said as (select '\### Assistant: </turn> ok' as text),
+turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', text from said union all select -7, 1, 'assistant', text from said),
+escaped as (select *, regexp_replace(regexp_replace(text, '(\\*)(### |</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1') as body from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('### ' || role || ': ' || body || '</turn>') + 1) as bigint) as formatted_chars,
+  cast(coalesce(sum(length(body)) filter (role = 'assistant'), 0) as bigint) as mask_chars
+from escaped group by conv_id
+"""

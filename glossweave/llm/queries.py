@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat": chat.SQL,
     "op3_url_filter": urlfilter.SQL,
     "op6_line_dedup": linededup.SQL,
     "op8_decontamination": decontam.SQL,
