@@ -90,16 +90,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> tuple[Data
     placed = None
     for s in sizes:
         own = docs.select(key[0].alias("k"), key[1].alias("h"), words(F.col("text")).alias("w"))
-        own = own.select("k", "h", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), s)).alias("at", "token"))
+        # Nothing else of the words is asked for here: beside the places it would be copied to each of them.
+        own = own.select("k", "h", F.posexplode(_shingles(F.col("w"), s)).alias("at", "token"))
         placed = own if placed is None else placed.unionByName(own)
     found = placed.join(small(prefix), "token").withColumn("start", F.col("at") - F.col("offset"))
-    found = found.where("start >= 0 and start + length <= n")
+    found = found.where("start >= 0")
     candidates = found.groupBy("k", "h").agg(F.collect_set(F.struct("start", "length", "win", "id")).alias("c"))
 
     k, h, c, w, out, *names = unused(docs, "k", "h", "c", "w", "found", "n_words", "n_hit", "hits", "contaminated")
     both = docs.withColumns({k: key[0], h: key[1]}).join(candidates.select(F.col("k").alias(k), F.col("h").alias(h), F.col("c").alias(c)), [k, h], "left")
     both = both.withColumn(w, words(F.col("text")))
-    true = F.coalesce(F.filter(c, lambda x: F.slice(w, x["start"] + 1, x["length"]) == x["win"]), F.array())
+    true = F.coalesce(F.filter(c, lambda x: (x["start"] + x["length"] <= F.size(w)) & (F.slice(w, x["start"] + 1, x["length"]) == x["win"])), F.array())
     both = both.withColumn(c, true)
     places = F.flatten(F.transform(c, lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
     n_words, n_hit = F.size(w).cast("long"), F.size(F.array_distinct(places)).cast("long")
