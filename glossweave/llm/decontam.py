@@ -41,8 +41,8 @@ def words(text: Column) -> Column:
 def windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, win: array of words), each window once, and (id, items: array of item_id as strings)."""
     w = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("at"))
-    rows = w.groupBy(F.slice("w", F.col("at"), F.lit(size)).alias("win")).agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    own = F.transform(F.array("w"), lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - size + 1)), lambda i: F.slice(a, i, F.lit(size))))[0]
+    rows = w.select("item_id", F.explode(own).alias("win")).groupBy("win").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "windows")
     return rows.select("id", "win"), rows.select("id", "items")
 
