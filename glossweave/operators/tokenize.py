@@ -31,7 +31,7 @@ def tokens_by_pattern(text: Column, words: list[str]) -> Column:
 
 
 def tokens_by_join(df: DataFrame, words: DataFrame, text: str = "text", exclude_whole: bool = False) -> DataFrame:
-    """Adds ``tokens``: pieces of each text meet the dictionary (word) in a semi-join, then a fold walks the text.
+    """Adds ``tokens``: pieces of each text meet the dictionary (word) in a semi-join, then the text is walked once.
 
     exclude_whole: a text is no word of itself.  Texts are tokenized once each; a piece
     travels with the 128-bit digest of its text, never with the text.
@@ -39,28 +39,35 @@ def tokens_by_join(df: DataFrame, words: DataFrame, text: str = "text", exclude_
     longest = words.agg(F.max(F.length("word"))).first()[0] or 1
     digest = F.unhex(F.md5("t")).alias("h")
     one = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select("t", digest).dropDuplicates(["h"])
-    at = one.select("h", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))
-    pieces = at.select("h", "i", F.length("t").alias("all"), F.expr(f"substring(t, i, {longest})").alias("head")).select("h", "i", "all", "head", F.explode(F.sequence(F.lit(1), F.greatest(F.length("head"), F.lit(1)))).alias("n"))
+    heads = F.transform(F.array(F.split("t", "")), lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(c, i, F.lit(longest)), "").alias("head"))))[0]
+    at = one.select("h", "t", F.length("t").alias("all")).select("h", "all", F.explode(heads).alias("x")).select("h", "all", "x.i", "x.head")
+    pieces = at.select("h", "i", "all", "head", F.explode(F.sequence(F.lit(1), F.greatest(F.length("head"), F.lit(1)))).alias("n"))
     pieces = pieces.select("h", "i", "n", "all", F.expr("substring(head, 1, n)").alias("word")).where("word <> ''")
     if exclude_whole:
         pieces = pieces.where("n < all")
     found = pieces.join(words.select("word").distinct(), "word", "left_semi").groupBy("h", "i").agg(F.max("n").alias("n"))
-    longest_at = found.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
+    longest_at = found.groupBy("h").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n"))
 
-    def step(acc: Column, i: Column) -> Column:
-        n = F.coalesce(F.try_element_at("m", i), F.lit(1))
-        taken = F.struct((i + n).alias("next"), F.concat(acc["out"], F.array(F.substring("t", i, n))).alias("out"))
-        return F.when(i == acc["next"], taken).otherwise(acc)
+    def walk(texts: pd.Series, places: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([walked(t, {} if i is None else dict(zip(i, n, strict=True))) for t, i, n in zip(texts, places, lengths, strict=True)], dtype=object)
 
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast(_NONE).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), zero, step, lambda a: a["out"])
-    done = one.join(longest_at, "h", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,int>")))
+    done = one.join(longest_at, "h", "left").select("h", F.pandas_udf(walk, _NONE, F.PandasUDFType.SCALAR)("t", "i", "n").alias("tokens"))
     h, tokens = unused(df, "h", "tokens")
-    done = done.select(F.col("h").alias(h), F.when(F.col("t") == "", F.array().cast(_NONE)).otherwise(walked).alias(tokens))
+    done = done.select(F.col("h").alias(h), F.col("tokens").alias(tokens))
     out = df.withColumn(h, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(done, h)
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != "tokens"), F.col(tokens).alias("tokens"))
 
 
+def walked(text: str, longest: dict[int, int]) -> list[str]:
+    """Tokens of a text by the length of the longest word at each place, counted from 1."""
+    out, i = [], 0
+    while i < len(text):
+        n = longest.get(i + 1, 1)
+        out.append(text[i : i + n])
+        i += n
+    return out
+
+
 def sizes(words: frozenset[str]) -> dict[str, list[int]]:
     """For each first character the lengths of its words, longest first."""
     out: dict[str, set[int]] = {}

@@ -6,6 +6,8 @@ form, its brand a traditional one, its type the English.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import distance, scores, text
 from glossweave.functions.pinyin import MARKED, PLAIN, TONES, numbered
 from glossweave.operators import colloc, convert, counts, dictionary, evaluate, learn, prefix, ranking, rules, similarity, tokenize
-from glossweave.sources import corpus, dictionaries, logs
+from glossweave.sources import corpus, dictionaries, logs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads back; it goes when Python ends, while the session lives."""
+    path = f"{tables.checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(remove)
+    return path
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -340,6 +355,121 @@ def pinyin_reformat(spark, d):
     return convert.with_formatted_pinyin(texts, dictionary.entries(rows)).select("p_partkey", "sound")
 
 
+@query("select p_name as line, count(*) as n from part group by all")
+def text_scan(spark, d):
+    """Lines that end in carriage returns too."""
+    path = folder(spark)
+    table(spark, d, "part").select(F.concat("p_name", F.lit("\r"))).write.text(path)
+    return corpus.lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("select p_name || ' of ' || p_brand as line, count(*) as n from part where p_brand in ('Brand#11', 'Brand#12', 'Brand#13') group by all")
+def indexed_scan(spark, d):
+    """A collection index that names an index of documents, which names files; files that no index names stay out."""
+    home = folder(spark)
+    p = table(spark, d, "part").where("p_brand < 'Brand#20'")
+    files = [f"b{i}" for i in (11, 12, 13)]
+    for i, name in enumerate(["b11", "b12", "b13", "b14"]):
+        p.where(f"p_brand = 'Brand#{11 + i}'").select(F.concat_ws(" of ", "p_name", "p_brand")).write.text(f"{home}/texts/{name}")
+    written = lambda lines, where: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{home}/data/corpus/{where}")
+    written(["# collections", "one.csv\tgloss\ttitle", "two.csv\tgloss\ttitle"], "collections.csv")
+    written(["# documents", *(f"{x}\tgloss\ttitle" for x in files[:2])], "one.csv")
+    written([f"{x}\tgloss\ttitle" for x in files[2:]], "two.csv")
+    return corpus.indexed_lines(spark, home, "texts").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("select p_brand as key, count(*) as n, sum(count(*)) over () as total from part group by p_brand")
+def count_files(spark, d):
+    """Counts written as text and read back, with their total."""
+    path = folder(spark)
+    tables.write_lines(table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")), path, "p_brand", "n")
+    back = tables.frequencies(spark, path)
+    return back.crossJoin(F.broadcast(tables.total(back)))
+
+
+@query("select p_type as term, round(avg(p_size) - 20, 6) as mi from part group by p_type")
+def score_files(spark, d):
+    path = folder(spark)
+    tables.write_lines(table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg("p_size") - 20, 6).alias("mi")), path, "p_type", "mi")
+    return tables.mutual_information(spark, path)
+
+
+@query("select p_type as term, p_size / 8 as mi, p_size % 2 as has_function_word, p_size % 3 as result, count(*) as n from part group by all")
+def training_files(spark, d):
+    """Rows of training files, which begin with a header."""
+    path = folder(spark)
+    p = table(spark, d, "part")
+    rows = p.select("p_type", (F.col("p_size") / 8).alias("mi"), (F.col("p_size") % 2).alias("f"), (F.col("p_size") % 3).alias("r"))
+    tables.write_lines(rows.unionByName(spark.createDataFrame([("# Term", 0.0, 0, 0)], "p_type string, mi double, f int, r int")), path, "p_type", "mi", "f", "r")
+    back = tables.tokenizer_training(spark, path)
+    return back.groupBy(*back.columns).agg(F.count("*").alias("n"))
+
+
+@query("""select user_id as query, event_type as term, cast(json_extract(props, '$.k') as int) as hamming, count(*) as n from events group by all""")
+def sample_files(spark, d):
+    """Samples as CSV, read by place."""
+    path = folder(spark)
+    k = F.get_json_object("props", "$.k").alias("Hamming")
+    zero = [F.lit(0).alias(c) for c in ("Pinyin Match", "In Notes", "Unigram Count")]
+    tables.write_table(table(spark, d, "events").select(F.col("user_id").alias("Query"), F.lit(1).alias("Rank"), F.col("event_type").alias("Term"), *zero, k, F.lit(0).alias("Is Substring"), F.lit(1).alias("Relevant")), path)
+    back = tables.similarity_samples(spark, path).where("is_relevant = 1 and rank = 1")
+    return back.groupBy(F.col("query").cast("long").alias("query"), "term", "hamming").agg(F.count("*").alias("n"))
+
+
+@query("select word, frequency, collection, document, round(idf, 9) as idf, doc_len from (with " + r"""tokens as (select c_mktsegment as collection, c_name as document, unnest(string_split(c_name, '#')) as word from customer),
+tf as (select collection, document, word, count(*) as frequency from tokens group by all), dl as (select document, cast(sum(frequency) as bigint) as doc_len from tf group by all), df as (select word, count(*) as df from tf group by all)
+select word, frequency, collection, document, log10(((select count(*) from dl) + 1) / df) as idf, doc_len from tf join dl using (document) join df using (word))""")
+def frequency_files(spark, d):
+    """Word frequencies of customers' names, written and read back."""
+    path = folder(spark)
+    tokens = table(spark, d, "customer").select(F.col("c_mktsegment").alias("collection"), F.col("c_name").alias("document"), F.explode(F.split("c_name", "#")).alias("word"))
+    f = ranking.word_frequencies(tokens)
+    tables.write_lines(f, path, *f.columns)
+    return tables.word_frequencies(spark, path).withColumn("idf", F.round("idf", 9))
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier where s_suppkey % 5 <> 0")
+def typed_files(spark, d):
+    """A typed table as text, some lines of which are comments."""
+    path = folder(spark)
+    name = F.when(F.col("s_suppkey") % 5 == 0, F.lit("#")).otherwise("")
+    tables.write_lines(table(spark, d, "supplier").select(F.concat(name, F.col("s_suppkey").cast("string")).alias("s_suppkey"), "s_name", "s_acctbal"), path, "s_suppkey", "s_name", "s_acctbal")
+    return corpus.typed_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double", sep="\t", comment="#")
+
+
+@query("""with l as (select p_name as key, p_type as e, 0 as f, p_partkey as o from part where p_size % 2 = 0 union all select p_name, p_type, 1, p_partkey from part where p_size % 2 = 1
+union all select p_brand, p_type, 1, p_partkey from part where p_size % 2 = 1)
+select key, count(*) as n_senses, string_agg(distinct f, ',' order by f) as files from l group by key""")
+def dictionary_files(spark, d):
+    """Two files in the native format, put together."""
+    path, p = folder(spark), table(spark, d, "part")
+    none = [F.lit("\\N").alias(f"c{i}") for i in range(9)]
+    for i in (0, 1):
+        rows = p.where(f"p_size % 2 = {i}").select("p_partkey", "p_name", F.lit("\\N").alias("t") if i == 0 else F.col("p_brand").alias("t"), F.lit("x").alias("p"), F.concat_ws(" ", "p_type", F.lit(f"@{i}")).alias("e"), *none, F.lit("").alias("notes"), F.col("p_partkey").alias("headword"))
+        tables.write_lines(rows, f"{path}/{i}", *rows.columns)
+    e = dictionary.entries(dictionaries.open_lines(spark, [f"{path}/0", f"{path}/1"]))
+    files = F.array_sort(F.array_distinct(F.transform("senses", lambda s: F.substring_index(s["english"], "@", -1))))
+    return e.select("key", F.size("senses").cast("long").alias("n_senses"), F.array_join(files, ",").alias("files"))
+
+
+@query("""select 'q' || user_id as query, event_type as term, cast(user_id % 5 as int) as unigram_count, count(*) as n from events where event_id % 3 <> 0 group by all""")
+def log_files(spark, d):
+    """Events as lines of JSON."""
+    path, e = folder(spark), table(spark, d, "events")
+    row = F.concat_ws(",", F.concat(F.lit(" q"), "user_id"), F.lit("1"), "event_type", F.lit("0"), F.lit("0"), F.col("user_id") % 5, F.lit("2"), F.lit("1"), F.lit("0"))
+    payload = F.when(F.col("event_id") % 3 == 0, "x:1,2").otherwise(F.concat(F.lit("info: "), row))
+    e.select(payload.alias("textPayload"), "event_id").write.json(path)
+    return logs.samples(logs.read_logs(spark, path)).groupBy("query", "term", "unigram_count").agg(F.count("*").alias("n"))
+
+
+@query("select 0 as src, substring(r_name, 1, 1) as symbol, r_regionkey + 1 as dst from region where r_regionkey % 2 = 0")
+def fsm_transitions(spark, d):
+    """Steps of a machine from the start, by the first letters of even regions."""
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.substring("r_name", 1, 1).alias("symbol"))
+    edges = r.select(F.lit(0).cast("long").alias("src"), "symbol", (F.col("k") + 1).alias("dst")).where("dst % 2 = 1")
+    return prefix.transitions(edges, edges.select("src", "symbol").distinct()).where("dst % 2 = 1")
+
+
 @query("""with l as (select p_partkey as ord, case when p_size % 10 = 0 then 'bad ' || p_name else p_brand || ' ' || p_name || ' [' || p_size || '] /' || p_type || '/' end as line from part)
 select ord, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 1) as traditional, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 2) as simplified, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 3) as pinyin, regexp_extract(line, '(.*) (.*) \\[(.*)\\] /(.*)/', 4) as english
 from l where regexp_matches(line, '(.*) (.*) \\[(.*)\\] /(.*)/')""")

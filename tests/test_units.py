@@ -364,3 +364,19 @@ def test_index_comments_inside_a_line(spark):
     rows = spark.createDataFrame([("a\tb # c",), ("# x",), ("",), ("only",)], "line string")
     assert [tuple(r) for r in corpus.parsed_index(rows, ["x", "y"], cut_comments=True).collect()] == [("a", "b "), ("only", None)]
     assert [r.y for r in corpus.parsed_index(rows, ["x", "y"]).collect()] == ["b # c", None]
+
+
+def test_rules_by_example(spark):
+    """Guesses written down by hand, apart from the tables of keywords."""
+    rows = [
+        ("大学", "University of Somewhere", "教育\tEducation", "\\N\t\\N", "大学\tUniversity", "proper noun", True),
+        ("发烧", "to have a fever", "现代汉语\tModern Chinese", "医学\tMedicine", "\\N\t\\N", "verb", False),
+        ("四字成语", "lit. four words (idiom)", "成语\tIdiom", "\\N\t\\N", "\\N\t\\N", "set phrase", False),
+        ("白鹭", "little egret (bird species of China)", "现代汉语\tModern Chinese", "中国\tChina", "鸟\tBird", "noun", False),
+        ("某县", "county in Sichuan", "地方\tPlaces", "中国\tChina", "县\tCounty", "noun", False),
+        ("公司", "an Airlines company", "商务\tCommerce", "\\N\t\\N", "公司\tCompany", "noun", True),
+        ("奥运", "Olympic Games, held since 1896", "体育\tSport", "\\N\t\\N", "\\N\t\\N", "proper noun", False),
+    ]
+    df = spark.createDataFrame([(s, s, e) for s, e, *_ in rows], "simplified string, traditional string, english string")
+    got = {r.simplified: (r.domain, r.subdomain, r.entity_kind, r.grammar, r.is_modern_named_entity) for r in rules.analyzed(df).collect()}
+    assert got == {s: tuple(x) for s, _, *x in rows}
