@@ -434,7 +434,7 @@ def typed_files(spark, d):
     path = folder(spark)
     name = F.when(F.col("s_suppkey") % 5 == 0, F.lit("#")).otherwise("")
     tables.write_lines(table(spark, d, "supplier").select(F.concat(name, F.col("s_suppkey").cast("string")).alias("s_suppkey"), "s_name", "s_acctbal"), path, "s_suppkey", "s_name", "s_acctbal")
-    return corpus.typed_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double", sep="\t", comment="#")
+    return corpus.typed_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double", sep="\t", header=False, comment="#")
 
 
 @query("""with l as (select p_name as key, p_type as e, 0 as f, p_partkey as o from part where p_size % 2 = 0 union all select p_name, p_type, 1, p_partkey from part where p_size % 2 = 1
