@@ -14,7 +14,7 @@ def shingle_set(t):
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingle_set(t) for _, t in rows]
     label = list(range(len(rows)))
     rank = [d if d is not None else float("inf") for d, _ in rows]
@@ -27,7 +27,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 label[max(a, b, key=lambda x: (rank[x], x))] = min(a, b, key=lambda x: (rank[x], x))
     return sorted((rank[i], len(sets[i]), rank[root(i)]) for i in range(len(rows)))

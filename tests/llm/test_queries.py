@@ -106,7 +106,7 @@ def test_pipeline(spark, documents):
     assert all(kept[0][k] == documents[k] for k in kept[0])
     lines = {k: d for k, _, _, d in test_linededup.brute(list(kept[0].items()))}
     assert {k: test_pii.hashlib.sha256((t or "").encode()).hexdigest() for k, t in kept[1].items()} == lines
-    groups = test_neardup.brute(list(kept[1].items()))
+    groups = test_neardup.brute(list(kept[1].items()), 80)
     assert set(kept[2]) == {d for d, _, c in groups if d == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     passages = {tuple(w[i : i + 13]) for _, t in items if len(w := test_decontam.words(t)) >= 13 for i in range(len(w) - 12)}
