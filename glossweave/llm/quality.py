@@ -1,14 +1,16 @@
 """Quality by weak supervision: rules vote or abstain, and expectation-maximisation weighs them.
 
-Each rule looks at one measure of the text and votes bad (1), good (0) or abstains
-(null).  Documents are good or bad in one of several ways, one for each rule: junk of
+Each rule looks at one measure of the text and votes good, doubtful or bad, or abstains.
+Documents are good or bad in one of several ways, one for each rule: junk of
 one kind trips the rule for it and few others, so one class of bad documents would
-only learn the commonest kind.  A class has a probability of a bad vote for each rule
+only learn the commonest kind.  A class has a probability of each vote for each rule
 that votes.  These accuracies and the shares of the classes are estimated from the
 votes of all documents: Spark counts each pattern of votes, of which there are at most
-3 ** len(RULES) whatever the corpus, and the iterations run over those counts.  Pseudo-counts
+4 ** len(RULES) whatever the corpus, and the iterations run over those counts.  Pseudo-counts
 (PRIOR) say that rules are rarely wrong about good documents until the votes show
-otherwise, and hold a corpus without bad documents together.
+otherwise, and hold a corpus without bad documents together.  They say so more of bad votes
+than of doubtful ones: good votes of other rules outweigh one doubtful vote, as a list of names or
+a very long text gets, but not one bad vote or two doubtful ones that go together.
 
 A document is kept if it passes the base rules and the posterior probability that it
 is good is at least ``keep``.  All of it is DataFrame expressions.
@@ -23,23 +25,23 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import SPACE, written
 
-#: rule: (measure x, votes bad if, votes good if), in SQL over the measures' names.
+#: rule: (measure x, and the conditions of a good, a doubtful and a bad vote, of which the last that holds counts), in SQL over the measures' names.
 RULES = {
-    "symbols": ("try_divide({symbols}, {words})", "{x} > 0.1", "{x} < 0.03"),
-    "word_length": ("try_divide({word_chars}, {words})", "{x} < 2.5 or {x} > 12", "{x} between 3.5 and 7"),
-    "dup_lines": ("if({lines} > 3, {dup_lines} / {lines}, null)", "{x} > 0.45", "{x} < 0.2"),
-    "repeats": ("try_divide({repeats}, {words})", "{x} > 0.3", "{x} < 0.15"),
-    "variety": ("try_divide({distinct_words}, {words})", "{x} < 0.1", "{x} > 0.3"),
-    "capitals": ("try_divide({capitals}, {word_chars})", "{x} > 0.3", "{x} < 0.1"),
-    "line_ends": ("if({lines} > 9, {ended_lines} / {lines}, null)", "{x} < 0.1", "{x} > 0.6"),
-    "shouts": ("try_divide({shouts}, {words})", "{x} > 0.3", "{x} < 0.05"),
+    "symbols": ("try_divide({symbols}, {words})", "{x} < 0.03", "{x} > 0.1", "{x} > 0.2"),
+    "word_length": ("try_divide({word_chars}, {words})", "{x} between 3.5 and 7", "{x} < 2.5 or {x} > 12", "{x} < 2 or {x} > 20"),
+    "dup_lines": ("if({lines} > 3, {dup_lines} / {lines}, null)", "{x} < 0.2", "{x} > 0.45", "{x} > 0.7"),
+    "repeats": ("try_divide({repeats}, {words})", "{x} < 0.15", "{x} > 0.3", "{x} > 0.4"),
+    "variety": ("try_divide({distinct_words}, {words})", "{x} > 0.3", "{x} < 0.1", "{x} < 0.02"),
+    "capitals": ("try_divide({capitals}, {word_chars})", "{x} < 0.1", "{x} > 0.3", "{x} > 0.6"),
+    "line_ends": ("if({lines} > 9, {ended_lines} / {lines}, null)", "{x} > 0.6", "{x} < 0.1", "false"),
+    "shouts": ("try_divide({shouts}, {words})", "{x} < 0.05", "{x} > 0.3", "{x} > 0.6"),
 }
 MEASURES = ["words", "word_chars", "symbols", "lines", "dup_lines", "repeats", "distinct_words", "capitals", "ended_lines", "shouts"]
 GOOD = "good"
 CLASSES = (GOOD, *RULES)
-#: Pseudo-counts of (bad, good) votes: of a rule in its own class, in another bad class, in good documents; and of the classes.
-PRIOR = {"own": (8.0, 2.0), "other": (1.0, 19.0), "good": (0.2, 50.0), "share": {GOOD: 20.0} | dict.fromkeys(RULES, 0.5)}
-#: A bad class is one where its own rule is right more often than not.
+#: Pseudo-counts of (good, doubtful, bad) votes: of a rule in its own class, in another bad class, in good documents; and of the classes.
+PRIOR = {"own": (2.0, 3.0, 8.0), "other": (19.0, 0.5, 0.5), "good": (50.0, 1.5, 0.1), "share": {GOOD: 20.0} | dict.fromkeys(RULES, 0.5)}
+#: A bad class is one where its own rule votes bad more often than not.
 LEAST_OWN = 0.5
 _P = "__q_"
 
@@ -98,45 +100,57 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def voted(measures: DataFrame) -> DataFrame:
-    """Adds __q_code, the votes as digits of base 3 (0 abstains, 1 good, 2 bad), and __q_failed for the base rules."""
+    """Adds __q_code, the votes as digits of base 4 (0 abstains, 1 good, 2 doubtful, 3 bad), and __q_failed for the base rules."""
     own = {m: _P + m for m in MEASURES}
-    q = measures.withColumns({f"{_P}x_{r}": F.expr(x.format(**own)) for r, (x, _, _) in RULES.items()})
+    q = measures.withColumns({f"{_P}x_{r}": F.expr(x.format(**own)) for r, (x, *_) in RULES.items()})
     code = F.lit(0)
-    for k, (r, (_, bad, good)) in enumerate(RULES.items()):
-        x = f"{_P}x_{r}"
-        code = code + F.expr(f"case when {bad.format(x=x)} then 2 when {good.format(x=x)} then 1 else 0 end") * 3**k
+    for k, (r, (_, *conditions)) in enumerate(RULES.items()):
+        good, doubtful, bad = (c.format(x=f"{_P}x_{r}") for c in conditions)
+        code = code + F.expr(f"case when {bad} then 3 when {doubtful} then 2 when {good} then 1 else 0 end") * 4**k
     failed = (F.col(_P + "words") < 50) | (100 * F.col(_P + "repeats") > 50 * F.col(_P + "words"))
     return q.withColumns({_P + "failed": failed, _P + "code": code}).drop(*(f"{_P}x_{r}" for r in RULES))
 
 
 def _votes(code: int) -> list[tuple[str, int]]:
-    """(rule, 1 bad or 0 good) of the rules that vote."""
-    return [(r, v - 1) for k, r in enumerate(RULES) if (v := code // 3**k % 3)]
+    """(rule, 0 good, 1 doubtful or 2 bad) of the rules that vote."""
+    return [(r, v - 1) for k, r in enumerate(RULES) if (v := code // 4**k % 4)]
 
 
-def _classes(p: dict, votes: list[tuple[str, int]]) -> dict[str, float]:
+def _logs(p: dict) -> dict:
+    return {"share": {c: math.log(x) for c, x in p["share"].items()}, "votes": {k: [math.log(x) for x in v] for k, v in p["votes"].items()}}
+
+
+def _classes(logs: dict, votes: list[tuple[str, int]]) -> dict[str, float]:
     """The posterior probability of each class."""
-    w = {c: math.exp(math.log(p["share"][c]) + sum(math.log(p["bad"][c, r] if v else 1 - p["bad"][c, r]) for r, v in votes)) for c in CLASSES}
+    w = {c: math.exp(logs["share"][c] + sum(logs["votes"][c, r][v] for r, v in votes)) for c in CLASSES}
     total = sum(w.values())
     return {c: x / total for c, x in w.items()}
 
 
+def _shares(counts: list[float], least: float) -> list[float]:
+    """counts as shares of their sum, the last of them at least ``least``."""
+    last = max(least, counts[-1] / sum(counts))
+    return [x / sum(counts[:-1]) * (1 - last) for x in counts[:-1]] + [last]
+
+
 def fit(counts: dict[int, int], iterations: int = 100, tolerance: float = 1e-7) -> dict:
-    """share of each class, and probability of a bad vote by (class, rule), from the counts of codes."""
+    """share of each class, and probabilities of the votes by (class, rule), from the counts of codes."""
     patterns = [(n, _votes(code)) for code, n in sorted(counts.items())]
     prior = {(c, r): PRIOR["good" if c == GOOD else "own" if c == r else "other"] for c in CLASSES for r in RULES}
-    size = sum(counts.values()) + sum(PRIOR["share"].values())
-    p = {"share": {c: x / sum(PRIOR["share"].values()) for c, x in PRIOR["share"].items()}, "bad": {k: x[0] / sum(x) for k, x in prior.items()}}
+
+    def estimated(share: dict, cast: dict) -> dict:
+        return {"share": {c: x / sum(share.values()) for c, x in share.items()}, "votes": {(c, r): _shares(x, LEAST_OWN if c == r else 0) for (c, r), x in cast.items()}}
+
+    p = estimated(PRIOR["share"], prior)
     for _ in range(iterations):
-        share, bad, all_votes = dict(PRIOR["share"]), {k: x[0] for k, x in prior.items()}, {k: sum(x) for k, x in prior.items()}
+        logs, share, cast = _logs(p), dict(PRIOR["share"]), {k: list(x) for k, x in prior.items()}
         for n, votes in patterns:
-            for c, q in _classes(p, votes).items():
+            for c, q in _classes(logs, votes).items():
                 share[c] += n * q
                 for r, v in votes:
-                    all_votes[c, r] += n * q
-                    bad[c, r] += n * q * v
-        new = {"share": {c: x / size for c, x in share.items()}, "bad": {(c, r): max(LEAST_OWN if c == r else 0, x / all_votes[c, r]) for (c, r), x in bad.items()}}
-        moved = max(abs(new[k][x] - p[k][x]) for k in p for x in p[k])
+                    cast[c, r][v] += n * q
+        new = estimated(share, cast)
+        moved = max(max(abs(new["share"][c] - x) for c, x in p["share"].items()), max(abs(a - b) for k, x in p["votes"].items() for a, b in zip(new["votes"][k], x, strict=True)))
         p = new
         if moved < tolerance:
             break
@@ -145,9 +159,9 @@ def fit(counts: dict[int, int], iterations: int = 100, tolerance: float = 1e-7)
 
 def rated(votes: DataFrame, keep: float) -> DataFrame:
     """Adds __q_quality, the posterior probability of a good document, and __q_kept."""
-    counts = {r[0]: r[1] for r in votes.groupBy(_P + "code").count().collect()}  # at most 3 ** len(RULES) rows
-    p = fit(counts)
-    rows = ", ".join(f"({c}, {_classes(p, _votes(c))[GOOD]!r}d)" for c in sorted(counts)) or "(0, 0d)"
+    counts = {r[0]: r[1] for r in votes.groupBy(_P + "code").count().collect()}  # at most 4 ** len(RULES) rows
+    logs = _logs(fit(counts))
+    rows = ", ".join(f"({c}, {_classes(logs, _votes(c))[GOOD]!r}d)" for c in sorted(counts)) or "(0, 0d)"
     quality = votes.sparkSession.sql(f"select * from values {rows} as t({_P}code, {_P}quality)")
     kept = ~F.col(_P + "failed") & (F.col(_P + "quality") >= keep)
     return votes.join(F.broadcast(quality), _P + "code").withColumn(_P + "kept", kept)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -76,3 +77,36 @@ def test_posterior_of_votes(spark):
     for r in report(df).collect():
         assert verdicts.setdefault((r.n_words, r.word_chars, r.n_symbols), r.kept) == r.kept
     assert not verdicts[0, 0, 0]
+
+
+def odd(seed):
+    """Clean texts with one odd measure: a list without sentence ends, headings in capitals, a very long text of few words."""
+    r = random.Random(seed)
+    words = ["".join(r.choice(["re", "to", "na", "li", "e", "ser"]) for _ in range(r.randint(2, 4))) for _ in range(900)]
+    line = lambda: " ".join(r.choice(words) for _ in range(12))
+    headed = lambda: " ".join(w.upper() if i % 5 < 2 else w for i, w in enumerate(line().split()))
+    return ["\n".join(line() for _ in range(14)), "\n".join(headed() + "." for _ in range(14)), "\n".join(line() + "." for _ in range(1000))]
+
+
+def test_good_votes_outweigh_one_doubtful_vote(spark):
+    texts = prose(60) + odd(1) + odd(2)
+    df = frame(spark, texts)
+    doubtful = [len([v for _, v in quality._votes(r[0]) if v > 0]) for r in quality.voted(quality.measured(df)).orderBy("n_words").select("__q_code").collect()]
+    assert doubtful == [0] * 60 + [1] * 6
+    assert filtered(df).count() == len(texts)
+
+
+def test_bad_and_common_doubtful_votes_reject(spark):
+    both = [t.upper() for t in odd(1)[:1] + odd(2)[:1]] + [t.replace(" ", " | ").replace("e", "&") for t in odd(3)[:1]]
+    assert {r.n_words for r in filtered(frame(spark, prose(60) + both)).collect()} == set(range(60))
+
+
+def test_fit_separates_classes():
+    """A rule that is often doubtful alone learns so; patterns of all votes at once stay finite."""
+    good = sum(4**k for k in range(len(quality.RULES)))
+    for n in (1, 100, 10000):
+        logs = quality._logs(quality.fit({good: 1000, good + 1: n, 0: 5, 4 ** len(quality.RULES) - 1: 3}))
+        at = lambda code: quality._classes(logs, quality._votes(code))["good"]
+        assert at(good) > 0.9 and at(good + 1) > 0.5 and at(4 ** len(quality.RULES) - 1) < 0.01 and at(good + 2) < 0.5
+        assert all(abs(sum(math.exp(x) for x in v) - 1) < 1e-9 for v in logs["votes"].values())
+    assert quality.fit({})["share"]["good"] > 0.8
