@@ -437,6 +437,16 @@ def typed_files(spark, d):
     return corpus.typed_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double", sep="\t", header=False, comment="#")
 
 
+@query("select s_suppkey, s_acctbal, split_part(s_name, '#', 1) as s_name, cast(null as bigint) as s_nationkey from supplier where s_suppkey % 5 <> 0")
+def typed_lines(spark, d):
+    """The same with comments inside lines: a # ends names, and the field behind them goes with it."""
+    path = folder(spark)
+    start = F.when(F.col("s_suppkey") % 5 == 0, F.lit("#")).otherwise("")
+    rows = table(spark, d, "supplier").select(F.concat(start, F.col("s_suppkey").cast("string")).alias("s_suppkey"), "s_acctbal", "s_name", "s_nationkey")
+    tables.write_lines(rows, path, *rows.columns)
+    return corpus.typed_lines(corpus.lines(spark, path), "s_suppkey long, s_acctbal double, s_name string, s_nationkey long", sep="\t")
+
+
 @query("""with l as (select p_name as key, p_type as e, 0 as f, p_partkey as o from part where p_size % 2 = 0 union all select p_name, p_type, 1, p_partkey from part where p_size % 2 = 1
 union all select p_brand, p_type, 1, p_partkey from part where p_size % 2 = 1)
 select key, count(*) as n_senses, string_agg(distinct f, ',' order by f) as files from l group by key""")

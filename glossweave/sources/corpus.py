@@ -59,9 +59,22 @@ def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
     return [r.line for r in lines(spark, path).where("trim(line) <> ''").collect()]
 
 
+#: A line up to the first # that no double quotes enclose.
+_UNCOMMENTED = '^([^"#]*+(?:"[^"]*+"[^"#]*+)*+)#.*$'
+
+
 def typed_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True, comment: str | None = None) -> DataFrame:
     """A table of text; without a schema the types are inferred.  comment: lines that begin with it are left out."""
     reader = spark.read.option("header", header).option("sep", sep)
     if comment:
         reader = reader.option("comment", comment)
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+
+
+def typed_lines(rows: DataFrame, schema: str, sep: str = ",") -> DataFrame:
+    """Typed columns of lines (line) without a header.  A # outside double quotes ends a line wherever it stands.
+
+    Null lines and those of which nothing is left but white space give no rows; missing fields and those of another type are null.
+    """
+    kept = rows.select(F.regexp_replace("line", _UNCOMMENTED, "$1").alias("line")).where("line rlike '[^\\\\s]'")
+    return kept.select(F.from_csv("line", schema, {"sep": sep}).alias("x")).select("x.*")

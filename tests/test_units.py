@@ -366,6 +366,14 @@ def test_index_comments_inside_a_line(spark):
     assert [r.y for r in corpus.parsed_index(rows, ["x", "y"]).collect()] == ["b # c", None]
 
 
+def test_typed_lines_end_at_comments(spark):
+    found = ["1,a,2.5", "2,b # not,7", "# 3,c,1", "", " \t", None, '4,"d # e",1.5 # f', "x,g", "5,,3#", '6,"open # h']
+    rows = spark.createDataFrame([(x,) for x in found], "line string")
+    got = {(r.id, r.name, r.n) for r in corpus.typed_lines(rows, "id long, name string, n double").collect()}
+    assert got == {(1, "a", 2.5), (2, "b ", None), (4, "d # e", 1.5), (None, "g", None), (5, None, 3.0), (6, "open # h", None)}
+    assert corpus.typed_lines(rows.where("false"), "id long").columns == ["id"]
+
+
 def test_rules_by_example(spark):
     """Guesses written down by hand, apart from the tables of keywords."""
     rows = [
