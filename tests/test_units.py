@@ -278,6 +278,11 @@ def test_tables(spark, tmp_path):
     assert tables.total(back).first()[0] == 3
     tables.write_table(back, str(tmp_path / "csv"))
     assert corpus.typed_csv(spark, str(tmp_path / "csv"), "key string, n long").count() == 2
+
+
+def test_observed_counters(spark):
+    """In a session of their own, as one that has observed can't train models after that."""
+    counted = counts.character_counts(spark.newSession().createDataFrame([("中中文\"",)], "line string"))
     df, seen = counts.observed(counted, "chars")
     df.collect()
     assert seen.get == {"items": 3, "distinct_items": 2}
