@@ -34,6 +34,8 @@ def observed(counts: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """counts, and an Observation of how many items and distinct items there were, known after an action.
 
     Unlike accumulators, observations don't count retried tasks twice.
+    A session that has observed can't train Spark's models after that (in 4.1 its state is no
+    longer serializable): where both are needed, read ``counts`` in a ``newSession()``.
     """
     seen = Observation(name)
     return counts.observe(seen, F.sum("n").alias("items"), F.count("*").alias("distinct_items")), seen
